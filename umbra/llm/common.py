@@ -18,28 +18,31 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 64 << 20
 
 
+_used: dict[str, tuple[SparkSession, str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="umbra-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/umbra-{spark.sparkContext.applicationId}"
-
+    path = f"{base}/umbra-{spark.sparkContext.applicationId}"
+    _used[path] = (spark, path)
+    return path
 
-_written: dict[str, tuple[SparkSession, str]] = {}
 
 
 def clear_scratch() -> None:
-    """Delete every table that materialize() wrote; results built on them can't be read afterwards."""
-    for spark, path in list(_written.values()):
+    """Delete what this process wrote to the shared folder; results built on it can't be read afterwards."""
+    for spark, path in list(_used.values()):
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the JVM is gone; whoever owns the shared folder empties it
             break
-    _written.clear()
+    _used.clear()
 
 
 atexit.register(clear_scratch)
@@ -49,7 +52,6 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    _written[path] = (spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

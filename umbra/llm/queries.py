@@ -2,15 +2,43 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from umbra.llm import simhash
+from umbra.llm import langid, simhash, tokenids, toxicity
+from umbra.llm.common import crc32_of_id, shared_dir
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    out = F.pmod(crc32_of_id("doc_id"), F.lit(3)) == 1
+    model = langid.fit(docs.where(~out))
+    return langid.identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    tokenids.write_tokens(_documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenids.read_tokens(spark, path)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    out = F.pmod(crc32_of_id("doc_id"), F.lit(5)) == 0
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~out))
+    return toxicity.classify(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4)
+    return simhash.near_duplicates(_documents(spark, sf_dir), words=4)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
