@@ -12,9 +12,11 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -99,17 +101,29 @@ class DacReader:
         return out
 
 
+#: Fixed value: the pattern by which a byte-level pre-tokenizer cuts text.
+_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
+
+def _byte_characters() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer file, add_special_tokens=False.
 
     With a byte-level tokenizer that has no normalizer, ids of a text are those of its parts when it is cut
     between a character that is no white space and a space or line feed after it: the pre-tokenizer's pattern
     never crosses that place and doesn't look behind it. Parts repeat, so their ids are kept (a bounded number);
-    unknown parts are encoded together and told apart by the lengths of their tokens. Texts that hold
-    an added token's string, and other tokenizers, are encoded whole.
+    of unknown parts the tokenizer's model encodes each pre-token. Texts that hold an added token's string or
+    white space in a row, and other tokenizers, are encoded whole.
     """
 
-    KEPT = 700_000
+    KEPT = 1_200_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -119,20 +133,21 @@ class Encoder:
         pre = self.tok.pre_tokenizer
         self.by_part = self.tok.normalizer is None and isinstance(pre, ByteLevel) and not pre.add_prefix_space and pre.use_regex
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        vocabulary = self.tok.get_vocab(with_added_tokens=True)
-        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.token_bytes[i] = len(token)
+        self.model = self.tok.model
+        self.characters = _byte_characters()
+        self.space = chr(self.characters[32])
         self._forget()
 
     def _forget(self) -> None:
         self.slot: dict[str, int] = {}  # of a part: after a space, unless it begins with a line feed
+        self.short: dict[str, list[int]] = {}
         self.n = self.used = 0
         self.start = np.zeros(1 << 12, np.int64)
         self.length = np.zeros(1 << 12, np.int32)
         self.pool = np.zeros(1 << 14, np.uint32)
 
-    def _put(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+    def _put(self, ids: list[int], lengths: list[int]) -> None:
+        """Ids of parts that get the next slots."""
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
         while self.n + len(lengths) > len(self.start):
@@ -147,25 +162,31 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pretoken(self, text: str) -> list[int]:
+        known = self.short.get(text)
+        if known is None:
+            shown = self.space + text[1:] if text[0] == " " and text[1:].isascii() and text[1:].isalpha() else text.encode().decode("latin-1").translate(self.characters)
+            known = [t.id for t in self.model.tokenize(shown)]
+            if len(text) <= 2:
+                self.short[text] = known
+        return known
+
     def _learn(self, parts: list[str]) -> None:
-        real = [p if p[:1] == "\n" else " " + p for p in parts]
-        plain = [i for i, p in enumerate(real) if len(p) > 1 and not p[-1].isspace()]
-        odd = sorted(set(range(len(real))).difference(plain))
-        for k in range(0, len(plain), 4096):
-            some = plain[k : k + 4096]
-            ids = self._whole(["".join(real[i] for i in some)])[0]
-            ends = np.cumsum([len(real[i].encode()) for i in some])
-            reached = np.cumsum(self.token_bytes[ids])
-            at = np.searchsorted(reached, ends)
-            if len(reached) and at[-1] < len(reached) and (reached[at] == ends).all():
-                first = self.n
-                self._put(ids, np.diff(at + 1, prepend=0))
-                self.slot.update(zip((parts[i] for i in some), range(first, self.n), strict=True))
+        ids: list[int] = []
+        lengths = []
+        for part in parts:
+            before = len(ids)
+            if _LETTERS.fullmatch(part):
+                ids += self._pretoken(" " + part)
+            elif part[-1:] in (".", ",") and _LETTERS.fullmatch(part, 0, len(part) - 1):
+                ids += self._pretoken(" " + part[:-1])
+                ids += self._pretoken(part[-1])
             else:
-                odd += some
-        for i, ids in zip(odd, self._whole([real[i] for i in odd]) if odd else [], strict=True):
-            self._put(ids, np.array([len(ids)]))
-            self.slot[parts[i]] = self.n - 1
+                for x in _PRETOKEN.findall(part if part[:1] == "\n" else " " + part):
+                    ids += self._pretoken(x)
+            lengths.append(len(ids) - before)
+        self.slot.update(zip(parts, range(self.n, self.n + len(parts)), strict=True))
+        self._put(ids, lengths)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and each text's number of ids."""
@@ -184,10 +205,12 @@ class Encoder:
             heads[i] = parts[0]
             keys += parts[1:]
             counts.append(len(parts) - 1)
-        unknown = {k for k in keys if k not in self.slot}
-        if unknown:
-            self._learn(sorted(unknown))
-        slots = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))
+        slots = np.fromiter(map(self.slot.get, keys, repeat(-1)), np.int64, len(keys))
+        unknown = np.flatnonzero(slots < 0)
+        if len(unknown):
+            own = [keys[i] for i in unknown.tolist()]
+            self._learn(list(dict.fromkeys(own)))
+            slots[unknown] = [self.slot[k] for k in own]
         apart = {i: x for i, x in zip([*whole, *heads], self._whole([*whole.values(), *heads.values()]), strict=True)}
         lengths = self.length[slots].astype(np.int64)
         ends = np.cumsum(lengths)
@@ -202,7 +225,6 @@ class Encoder:
         return np.concatenate(out) if out else np.array([], np.uint32), np.array(sizes, np.int64)
 
 
-
 _encoders: dict[str, Encoder] = {}
 
 
