@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.llm import langid, simhash, tokenids, toxicity
+from umbra.llm import decontaminate, embeddings, langid, linededup, lmscore, mixing, simhash, tokencount, tokenids, toxicity
 from umbra.llm.common import crc32_of_id, shared_dir
 
 
@@ -24,6 +24,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = mixing.mix(_documents(spark, sf_dir))
+    return made.rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
     tokenids.write_tokens(_documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -37,6 +42,27 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.spans(_documents(spark, sf_dir))
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return lmscore.score(docs, lmscore.fit(docs))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(_documents(spark, sf_dir), tokencount.zipf_vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir), words=4)
 
