@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +23,9 @@ def ship_package(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(path))
         _shipped.add(context.applicationId)
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it comes from fewer files than there are cores; tables of many files stay as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
