@@ -409,7 +409,7 @@ def image_cleaned(data: bytes, spans: Spans | None = None) -> bytes:
 
 
 _OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
-_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\b(?:Tj|TJ|Td|TD|Tm|T\*|ET)\b|'|\"", re.S)
+_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\b(?:Tj|TJ|Td|TD|Tm|ET)\b|T\*|'|\"", re.S)
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 

@@ -12,19 +12,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from umbra.functions.spans import exploded
 from umbra.operators.detect import Settings, detect, standing_spans
 
-#: How long a document's counters outlive its last batch.
-FORGOTTEN_MS = 24 * 3600 * 1000
-
 
 def detect_stream(units: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Detections of a stream of units. Each unit is looked at whole in its own row, so the stream needs no state."""
     return detect(units, settings)
 
 
-def number_stream(units: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def number_stream(units: DataFrame, settings: Settings = Settings(), forget_after_ms: int | None = None) -> DataFrame:
     """A stream of units -> a stream of (doc_id, value, entity, token): tokens numbered by document across batches.
 
-    State by document: the last number of each entity, and the tokens of its values, as long as the document has news in a day.
+    State by document: the last number of each entity, and the tokens of its values. forget_after_ms drops the state of a document
+    that long without news; streams that never end need it, while a stream that is to end with its input can't have it.
     Values of a batch are met in order of their unit, then from the last span to the first.
     """
     found = exploded(standing_spans(units, settings), "_standing", "s", "doc_id", "ord").select("doc_id", "ord", "s.entity", "s.value", "s.st")
@@ -43,12 +41,13 @@ def number_stream(units: DataFrame, settings: Settings = Settings()) -> DataFram
             values[value] = f"[{entity}_{counters[entity]}]"
             fresh.append((key[0], value, entity, values[value]))
         state.update((list(counters), list(counters.values()), list(values), list(values.values())))
-        state.setTimeoutDuration(FORGOTTEN_MS)
+        if forget_after_ms:
+            state.setTimeoutDuration(forget_after_ms)
         yield pd.DataFrame(fresh, columns=["doc_id", "value", "entity", "token"])
 
     return found.groupBy("doc_id").applyInPandasWithState(
         number, "doc_id long, value string, entity string, token string",
-        "entities array<string>, numbers array<long>, known array<string>, tokens array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout,
+        "entities array<string>, numbers array<long>, known array<string>, tokens array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout if forget_after_ms else GroupStateTimeout.NoTimeout,
     )
 
 
