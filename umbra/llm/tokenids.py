@@ -12,15 +12,19 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from umbra.llm.common import materialize, small_batches
+
 _MAGIC = b"DAC1"
 _SUPER = 512  # bits that an entry of the rank directory stands for
 
@@ -103,6 +107,7 @@ class DacReader:
 
 #: Fixed value: the pattern by which a byte-level pre-tokenizer cuts text.
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_SPACES = re.compile(r"\s[ \n]")
 _LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
 
@@ -118,12 +123,12 @@ class Encoder:
 
     With a byte-level tokenizer that has no normalizer, ids of a text are those of its parts when it is cut
     between a character that is no white space and a space or line feed after it: the pre-tokenizer's pattern
-    never crosses that place and doesn't look behind it. Parts repeat, so their ids are kept (a bounded number);
-    of unknown parts the tokenizer's model encodes each pre-token. Texts that hold an added token's string or
+    never crosses that place and doesn't look behind it. Parts repeat, so the ids of common ones are kept (a bounded number);
+    of others the tokenizer's model encodes each pre-token. Texts that hold an added token's string or
     white space in a row, and other tokenizers, are encoded whole.
     """
 
-    KEPT = 1_200_000
+    KEPT, OFTEN = 1_000_000, 1
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -136,9 +141,6 @@ class Encoder:
         self.model = self.tok.model
         self.characters = _byte_characters()
         self.space = chr(self.characters[32])
-        self._forget()
-
-    def _forget(self) -> None:
         self.slot: dict[str, int] = {}  # of a part: after a space, unless it begins with a line feed
         self.short: dict[str, list[int]] = {}
         self.n = self.used = 0
@@ -171,57 +173,61 @@ class Encoder:
                 self.short[text] = known
         return known
 
-    def _learn(self, parts: list[str]) -> None:
-        ids: list[int] = []
-        lengths = []
-        for part in parts:
-            before = len(ids)
-            if _LETTERS.fullmatch(part):
-                ids += self._pretoken(" " + part)
-            elif part[-1:] in (".", ",") and _LETTERS.fullmatch(part, 0, len(part) - 1):
-                ids += self._pretoken(" " + part[:-1])
-                ids += self._pretoken(part[-1])
-            else:
-                for x in _PRETOKEN.findall(part if part[:1] == "\n" else " " + part):
-                    ids += self._pretoken(x)
-            lengths.append(len(ids) - before)
-        self.slot.update(zip(parts, range(self.n, self.n + len(parts)), strict=True))
-        self._put(ids, lengths)
+    def _part(self, part: str) -> list[int]:
+        """Ids of a part."""
+        if part.isascii() and part.isalpha():
+            return [t.id for t in self.model.tokenize(self.space + part)]
+        if part[-1:] in (".", ",") and _LETTERS.fullmatch(part, 0, len(part) - 1):
+            return self._pretoken(" " + part[:-1]) + self._pretoken(part[-1])
+        if _LETTERS.fullmatch(part):
+            return self._pretoken(" " + part)
+        return [i for x in _PRETOKEN.findall(part if part[:1] == "\n" else " " + part) for i in self._pretoken(x)]
+
+    def _ids(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts one after another, and each one's number of ids. Parts of a batch repeat, so each distinct one is looked
+        up or encoded once; those that repeat often enough are kept for later batches."""
+        coded = parts.dictionary_encode()
+        distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        slot = np.fromiter(map(self.slot.get, distinct, repeat(-1)), np.int64, len(distinct))
+        unknown = np.flatnonzero(slot < 0)
+        found = [self._part(distinct[i]) for i in unknown.tolist()]
+        fresh = np.fromiter(map(len, found), np.int64, len(found))
+        start, length = self.start[slot], self.length[slot].astype(np.int64)
+        start[unknown] = self.used + np.cumsum(fresh) - fresh
+        length[unknown] = fresh
+        pool = np.concatenate((self.pool[: self.used], np.fromiter(chain.from_iterable(found), np.uint32, int(fresh.sum()))))
+        often = np.flatnonzero(np.bincount(index, minlength=len(distinct))[unknown] >= self.OFTEN)[: max(0, self.KEPT - self.n)]
+        if len(often):
+            self.slot.update(zip((distinct[i] for i in unknown[often].tolist()), range(self.n, self.n + len(often)), strict=True))
+            self._put([i for k in often.tolist() for i in found[k]], fresh[often].tolist())
+        lengths = length[index]
+        ends = np.cumsum(lengths)
+        return pool[np.repeat(start[index] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and each text's number of ids."""
-        if self.n > self.KEPT:
-            self._forget()
-        whole: dict[int, str] = {}
-        heads: dict[int, str] = {}
-        keys: list[str] = []
-        counts = []
-        for i, text in enumerate(texts):
-            if not self.by_part or any(a in text for a in self.added) or re.search(r"\s[ \n]", text):
-                whole[i] = text
-                counts.append(0)
-                continue
-            parts = text.replace("\n", " \n").split(" ")
-            heads[i] = parts[0]
-            keys += parts[1:]
-            counts.append(len(parts) - 1)
-        slots = np.fromiter(map(self.slot.get, keys, repeat(-1)), np.int64, len(keys))
-        unknown = np.flatnonzero(slots < 0)
-        if len(unknown):
-            own = [keys[i] for i in unknown.tolist()]
-            self._learn(list(dict.fromkeys(own)))
-            slots[unknown] = [self.slot[k] for k in own]
-        apart = {i: x for i, x in zip([*whole, *heads], self._whole([*whole.values(), *heads.values()]), strict=True)}
-        lengths = self.length[slots].astype(np.int64)
-        ends = np.cumsum(lengths)
-        ids = self.pool[np.repeat(self.start[slots] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        out, sizes, at, k = [], [], 0, 0
-        for i, n in enumerate(counts):
-            k += n
-            to = int(ends[k - 1]) if k else 0
-            out += [apart[i], ids[at:to]]
-            sizes.append(len(apart[i]) + to - at)
-            at = to
+        plain = np.array([self.by_part and not any(a in t for a in self.added) and not _SPACES.search(t) for t in texts], bool)
+        cut = pc.split_pattern(pc.replace_substring(pa.array([t for t, p in zip(texts, plain, strict=True) if p], pa.large_string()), "\n", " \n"), " ")
+        offsets, parts = cut.offsets.to_numpy(), cut.flatten()
+        is_head = np.zeros(len(parts), bool)
+        is_head[offsets[:-1]] = True  # what stands before a text's first space is encoded apart: no space goes before it
+        heads = self._whole(parts.take(pa.array(offsets[:-1])).to_pylist())
+        ids, lengths = self._ids(parts.filter(pa.array(~is_head)))
+        apart = self._whole([t for t, p in zip(texts, plain, strict=True) if not p])
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        bounds = ends[offsets - np.arange(len(offsets))]  # ids before each text, its head and those before left out
+        out: list[np.ndarray] = []
+        sizes = []
+        i = k = 0
+        for p in plain:
+            if p:
+                out += [heads[i], ids[bounds[i] : bounds[i + 1]]]
+                sizes.append(len(heads[i]) + int(bounds[i + 1] - bounds[i]))
+                i += 1
+            else:
+                out.append(apart[k])
+                sizes.append(len(apart[k]))
+                k += 1
         return np.concatenate(out) if out else np.array([], np.uint32), np.array(sizes, np.int64)
 
 
@@ -235,14 +241,33 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, block_ids: int = 1 << 18) -> None:
+def _groups(batches: Iterator[pd.DataFrame], chars: int) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Ids and texts of rows in order, in groups of about so many characters."""
+    ids: list[int | None] = []
+    texts: list[str] = []
+    size = 0
+    for batch in batches:
+        for i, text in zip(batch["id"], batch["text"], strict=True):
+            ids.append(None if pd.isna(i) else int(i))
+            texts.append(text)
+            size += len(text)
+            if size >= chars:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if texts:
+        yield ids, texts
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, block_ids: int = 1 << 18, chars: int = 1 << 22) -> None:
     """Write the ids of all texts, each with end_id after it, in ascending order of id to a folder of Parquet files.
 
     A row is a block of whole documents: its part and place in the part, the ids before it in the part, its
     documents' ids and lengths, and one directly addressable code. Null ids come first; rows that repeat an id are ordered
     by a hash of the text, then the text. Null texts count as empty. An empty table writes no blocks.
-    The ids are dealt by ranges, sampled from the ids alone, so that no task holds more than its share.
+    The ids are dealt by ranges, sampled from the ids alone, so that no task holds more than its share. Texts are encoded about chars
+    characters at a time, and a block has about block_ids ids, or one longer document.
     """
+    docs = small_batches(docs)
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "text").select("id", "text")
 
@@ -250,34 +275,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         enc = encoder(tokenizer)
         part = TaskContext.get().partitionId()
         seq = start = 0
-        held: list[np.ndarray] = []
-        doc_ids: list[int | None] = []
-        lengths: list[int] = []
-        for batch in batches:
-            ids_of = [None if x is pd.NA or x != x else int(x) for x in batch["id"].astype("Int64")] if batch["id"].isna().any() else batch["id"].astype("int64").tolist()
-            texts = batch["text"].tolist()
-            k = 0
-            while k < len(texts):
-                to, chars = k, 0
-                while to < len(texts) and (to == k or chars + len(texts[to]) <= 2 * block_ids):
-                    chars += len(texts[to])
-                    to += 1
-                ids, sizes = enc.encode(texts[k:to])
-                ends = np.cumsum(sizes)
-                held.append(np.insert(ids, ends, end_id))
-                doc_ids += ids_of[k:to]
-                lengths += (sizes + 1).tolist()
-                k = to
-                if sum(map(len, held)) >= block_ids:
-                    yield block(part, seq, start, doc_ids, lengths, held)
-                    start += sum(lengths)
-                    seq, held, doc_ids, lengths = seq + 1, [], [], []
-        if lengths:
-            yield block(part, seq, start, doc_ids, lengths, held)
-
-    def block(part: int, seq: int, start: int, doc_ids: list, lengths: list, held: list) -> pd.DataFrame:
-        ids = np.concatenate(held)
-        return pd.DataFrame({"part": [part], "seq": [seq], "start": [start], "n_ids": [len(ids)], "doc_ids": [doc_ids], "lengths": [lengths], "ids": [dac_encode(ids)]})
+        for doc_ids, texts in _groups(batches, chars):
+            ids, sizes = enc.encode(texts)
+            ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
+            ends = np.cumsum(sizes)
+            at = 0
+            while at < len(sizes):
+                before = int(ends[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, before + block_ids, side="right")))
+                own = ids[before : int(ends[to - 1])]
+                yield pd.DataFrame({"part": [part], "seq": [seq], "start": [start], "n_ids": [len(own)], "doc_ids": [doc_ids[at:to]], "lengths": [sizes[at:to].tolist()], "ids": [dac_encode(own)]})
+                seq, start, at = seq + 1, start + len(own), to
 
     dealt.mapInPandas(blocks, BLOCKS).write.parquet(path)
 
@@ -289,7 +297,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """
     blocks = spark.read.schema(BLOCKS).parquet(path)
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    # Written first, so that its size is known when the join is planned and the blocks aren't shuffled for it.
+    before = materialize(totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")))
     placed = blocks.join(before, "part").select((F.col("before") + F.col("start")).alias("start"), "doc_ids", "lengths", "ids")
 
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
