@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +16,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Largest table (rows times bytes of a row) that an operator hands to broadcast().
 BROADCAST_BYTES = 64 << 20
 
-
 _used: dict[str, tuple[SparkSession, str]] = {}
 
 
@@ -56,25 +54,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def crc32_of_id(col: str | Column) -> Column:
-    """crc32 of the id as text; null ids count as the text 'null'."""
-    return F.crc32(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("null")).cast("string").cast("binary"))
+#: Rows of an Arrow batch: texts may be long, and a Python worker holds a batch several times over.
+BATCH_ROWS = 500
 
 
-def only(df: DataFrame, *cols: str) -> DataFrame:
-    """The named columns alone, so that extra columns with clashing names can't interfere."""
-    return df.select(*[df[c] for c in cols])
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session now sends at most BATCH_ROWS rows at a time to Python workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
 
 
-def in_batches(items: Iterable, n: int) -> Iterator[list]:
-    batch: list = []
-    for x in items:
-        batch.append(x)
-        if len(batch) >= n:
-            yield batch
-            batch = []
-    if batch:
-        yield batch
+def crc32_of_id(col: str | Column) -> Column:
+    """crc32 of the id as text; null ids count as the text 'null'."""
+    return F.crc32(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("null")).cast("string").cast("binary"))
 
 
 def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

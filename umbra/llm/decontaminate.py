@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from umbra.llm.common import small_batches
+
 _WORDS = re.compile(r"\w+")
 _END = re.compile(r"(?<=[.!?])\s+|\n+")
 #: BM25's usual constants, words of a shingle, and the share of an item's shingles that a leak holds.
@@ -21,7 +23,7 @@ K1, B, SHINGLE, OVERLAP = 1.2, 0.75, 5, 0.8
 ANSWER = 0.5
 #: Items of an index; text of its items. A benchmark beyond that is cut into several indexes, each searched for all passages.
 SHARD_ITEMS, SHARD_BYTES = 4096, 8 << 20
-_PIECE = 1 << 20  # characters of text that are looked at together
+_PIECE = 1 << 18  # characters of text that are looked at together
 
 LEAK = "array<struct<item_id: long, at: long, score: double, question_overlap: double, answer_overlap: double>>"
 
@@ -239,7 +241,7 @@ def leaks_column(found: list[Index], text: Column, docs: DataFrame) -> Column:
     """Leaked items of each text."""
 
     def of(index: Index) -> Column:
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = small_batches(docs).sparkSession.sparkContext.broadcast(index)
 
         @F.pandas_udf(LEAK)
         def leaks(texts: pd.Series) -> pd.Series:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import local_labels, materialize
+from umbra.llm.common import BROADCAST_BYTES, local_labels, materialize
 from umbra.llm.components import connected_components
 
 #: A vector's description: its PREFIX nearest pivots, in order. Candidates share SHARED of them.
@@ -38,7 +38,7 @@ def _units(vectors: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def choose_pivots(classes: DataFrame, n: int, width: int) -> np.ndarray:
     """Up to about 2 sqrt(n) vectors of a bounded sample drawn by a hash, thinned so that crowded places get few."""
-    want = int(min(PIVOTS, max(16, 2 * n**0.5)))
+    want = int(min(PIVOTS, max(16, 2 * n**0.5), max(1, BROADCAST_BYTES // (8 * max(1, width)))))
     sample = classes.select("vector", F.xxhash64(F.lit("pivot"), "label", "vector").alias("o")).orderBy("o").limit(min(SAMPLE, 8 * want)).toPandas()
     if not len(sample):
         return np.zeros((0, width))

@@ -10,14 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import BROADCAST_BYTES
+from umbra.llm.common import BROADCAST_BYTES, small_batches
 
 #: N-grams have so many characters; their hashes have so many bits.
 ORDERS = (1, 2, 3)
 BITS = 16
 
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
-_PIECE = 1 << 20  # characters whose n-grams are held at once
+_PIECE = 1 << 18  # characters whose n-grams are held at once
 _letters: list[np.ndarray] = []
 
 
@@ -117,6 +117,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learn from rows with text and language: all of a language with up to docs_per_language of them, else a
     sample of about so many, drawn by a hash of the id. The counts that come to the driver are at most buckets x languages.
     """
+    docs = small_batches(docs)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang")).where("text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
@@ -146,7 +147,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predict_column(model: Model, text: Column, docs: DataFrame) -> Column:
     """struct(lang, score) of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
     def of(texts: pd.Series) -> pd.DataFrame:

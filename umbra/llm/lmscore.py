@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import materialize
+from umbra.llm.common import materialize, small_batches
 
 #: Words are hashed to 2**BITS buckets; the VOCABULARY - TAIL commonest are tokens of their own, the others share TAIL tokens.
 BITS, VOCABULARY, TAIL = 16, 4096, 256
@@ -20,7 +20,7 @@ LEVELS = VOCABULARY.bit_length() - 1
 WINDOW, WIDTH, STEP = 3, 24, 2048
 #: One token of so many is a target in training; every partition adds its own, so what is learnt from grows with the corpus.
 STRIDE = 16
-_PIECE = 1 << 20  # bytes of text that are hashed at once
+_PIECE = 1 << 18  # bytes of text that are hashed at once
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -183,9 +183,10 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = 1, slices: int =
     """Train on all documents: in a round each partition trains a copy of the network on its targets, and the copies
     are averaged by their numbers of targets, slice by slice, fan_in copies and then groups of copies at a time.
     """
+    docs = small_batches(docs)
     net = Network.fresh(count_buckets(docs, text_col))
     for _ in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast(net)
+        shared = small_batches(docs).sparkSession.sparkContext.broadcast(net)
 
         def learn(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             own = shared.value.copy()

@@ -171,11 +171,11 @@ def mixed_documents(docs: DataFrame, made: Mix, id_col: str = "doc_id", text_col
     blocks don't take go, and with them documents none of whose words are taken. n_chars, where there is one, follows.
     """
     names = docs.columns
-    by = made.pieces.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("pos", "n", "times", "part"))).alias("_pieces"))
+    by = made.pieces.groupBy(*[F.col(c).alias(f"_by_{c}") for c in _KEY]).agg(F.array_sort(F.collect_list(F.struct("pos", "n", "times", "part"))).alias("_pieces"))
     shown = docs.withColumn("_h", F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
     source = [c for c in names if c == "source"] or [F.lit(1)]
     shown = shown.withColumn("_k", F.row_number().over(Window.partitionBy(id_col, "_h").orderBy(*source)))
-    joined = shown.join(by, shown[id_col].eqNullSafe(by["id"]) & (shown["_h"] == by["h"]) & (shown["_k"] == by["k"]))
+    joined = shown.join(by, shown[id_col].eqNullSafe(by["_by_id"]) & (shown["_h"] == by["_by_h"]) & (shown["_k"] == by["_by_k"]))
     most = F.array_max(F.transform("_pieces", lambda p: p["times"] + (p["part"] > 0).cast("long")))
     timed = joined.withColumn("_time", F.explode(F.sequence(F.lit(0).cast("long"), most - 1)))
 

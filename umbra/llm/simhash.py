@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import local_labels, materialize
+from umbra.llm.common import local_labels, materialize, small_batches
 from umbra.llm.components import connected_components
 
 _CHUNK = 1 << 16  # hashes whose bits are counted at once
@@ -157,6 +157,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null ids count only as members: they never name a component unless all of its ids are null. An empty
     table gives no rows. Only equal fingerprints are met before links are looked for, so copies cost one row.
     """
+    docs = small_batches(docs)
     fp = materialize(docs.select(docs[id_col].alias("id"), fingerprint_column(docs[text_col], words).alias("fp")))
     reps = materialize(fp.groupBy("fp").agg(F.min("id").alias("rep")))
     links = ball_links(reps.where("rep is not null"), radius)

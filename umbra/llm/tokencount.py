@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from umbra.llm.common import small_batches
+
 #: Stands for a space, and begins a word.
 SPACE = "▁"
 #: What an unknown character scores less than the least likely piece.
@@ -125,7 +127,7 @@ _counters: dict[int, Counter] = {}
 
 
 def count_column(vocabulary: Vocabulary, text: Column, docs: DataFrame) -> Column:
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import crc32_of_id
+from umbra.llm.common import small_batches
 
 #: ASCII white space, punctuation and controls part words; bytes of other characters belong to them.
 _WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -221,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score_column(model: Model, text: Column, docs: DataFrame) -> Column:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
@@ -234,7 +234,3 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """One row per document: id, score (0 to 1), predicted (1 from 0.5). Null and empty texts score as texts of no window."""
     scored = docs.select(docs[id_col].alias(id_col), score_column(model, docs[text_col], docs).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-
-
-def held_out(col: str, modulus: int, remainder: int) -> Column:
-    return F.pmod(crc32_of_id(col), F.lit(modulus)) == remainder
