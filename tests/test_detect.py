@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions.patterns import ANY_CASE, Detector, custom_detector
 from umbra.functions.spans import with_matches
-from umbra.operators.detect import Settings, detect, detect_names, is_dangerous, raw_spans
+from umbra.operators.detect import Settings, detect, detect_names, is_dangerous, raised_by_context, raw_spans
 from umbra.operators.overlap import resolve, resolve_in_order
 from umbra.plans.catalog import ENTITIES, catalog, selected, severity
 
@@ -227,3 +227,18 @@ def test_names_against_the_loop(spark, units):
 
 def test_catalog(spark):
     assert catalog(spark).count() == 48
+
+
+def test_profiles():
+    kept = Settings(frozenset({"EMAIL_ADDRESS"}), ("Acme",))
+    assert Settings.from_profile(kept.profile()) == kept
+    assert Settings.from_profile(Settings().profile()).entities == frozenset(ENTITIES)
+    assert Settings.from_profile({}).entities == frozenset()
+
+
+def test_context_raises_scores_within_reach(spark, units):
+    u = units("pass AB1234567 and far away from here AB7654321", "AB1234567")
+    found = detect(u, Settings(entities=frozenset({"NORWEGIAN_PASSPORT"})))
+    words = spark.createDataFrame([("NORWEGIAN_PASSPORT", "PASS"), ("OTHER", "far")], "entity string, word string")
+    got = {(r["doc_id"], r["st"]): r["score"] for r in raised_by_context(found, u, words, 0.7, 8).collect()}
+    assert got == {(0, 5): 1.0, (0, 38): 0.5, (1, 0): 0.5}

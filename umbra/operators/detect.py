@@ -11,7 +11,7 @@ from umbra.functions import names as person_names
 from umbra.functions.patterns import Detector, detectors
 from umbra.functions.spans import FIELDS, exploded, line_number, resolved, with_spans
 from umbra.operators.suppress import company_form_is_upper
-from umbra.plans.catalog import selected
+from umbra.plans.catalog import ENTITIES, selected
 
 #: Columns of a unit of text, and of a detection.
 UNIT = ("doc_id", "ctx", "ord", "text")
@@ -28,6 +28,14 @@ class Settings:
     extra: tuple[Detector, ...] = ()
     by_line: bool = False
 
+    @staticmethod
+    def from_profile(profile: dict) -> Settings:
+        """A saved profile: entities, a map from type to whether it is ticked, and custom_terms, a list."""
+        return Settings(frozenset(e for e, on in profile.get("entities", {}).items() if on), tuple(profile.get("custom_terms", ())))
+
+    def profile(self) -> dict:
+        return {"entities": {e: self.entities is None or e in self.entities for e in ENTITIES}, "custom_terms": list(self.custom_terms)}
+
     def detectors(self) -> tuple[Detector, ...]:
         return detectors(selected(set(self.entities) if self.entities is not None else None, self.custom_terms) + tuple(d.entity for d in self.extra), self.custom_terms, self.extra)
 
@@ -112,3 +120,14 @@ def from_outside(spans: DataFrame, units: DataFrame) -> DataFrame:
     return joined.select("doc_id", "ctx", "ord", "entity", F.expr("substring(text, st + 1, en - st)").alias("value"), F.col("st").cast("int").alias("st"), F.col("en").cast("int").alias("en"), F.col("score").cast("double").alias("score"), F.lit("outside").alias("rule"), F.lit(True).alias("redact"))
 
 
+
+
+def raised_by_context(detections: DataFrame, units: DataFrame, words: DataFrame, by: float, within: int, most: float = 1.0) -> DataFrame:
+    """detections with scores raised `by`, up to `most`, where one of their type's words(entity, word) stands within so many characters
+    before or after. Not part of detect(): how much a word raises a score is the caller's to say."""
+    low = F.lower(F.expr(f"substring(text, greatest(st - {within}, 0) + 1, en - st + least(st, {within}) + {within})"))
+    near = detections.join(units.select("doc_id", "ord", "text"), ["doc_id", "ord"])
+    lists = words.groupBy("entity").agg(F.collect_set(F.lower("word")).alias("_words"))
+    joined = near.withColumn("_near", low).join(lists, "entity", "left")
+    hit = F.coalesce(F.exists("_words", lambda w: F.contains(F.col("_near"), w)), F.lit(False))
+    return joined.withColumn("score", F.when(hit, F.least(F.col("score") + by, F.greatest(F.lit(most), F.col("score")))).otherwise(F.col("score"))).select(*detections.columns)

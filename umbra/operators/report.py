@@ -44,11 +44,14 @@ def set_all(detections: DataFrame, redact: bool) -> DataFrame:
 
 
 def sample(detections: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """The first detections of each entity in a document, and whether the document has more of any entity."""
+    """The first detections of each entity in a document, and whether the document has more of any entity.
+
+    Both windows are answered by one partitioning, by document.
+    """
     place = F.row_number().over(Window.partitionBy("doc_id", "entity").orderBy("ord", "st", "en", "value"))
-    ranked = detections.withColumn("_i", place)
-    more = ranked.groupBy("doc_id").agg((F.max("_i") > most).alias("truncated"))
-    return ranked.where(F.col("_i") <= most).drop("_i").join(more, "doc_id")
+    ranked = detections.repartition(F.col("doc_id")).withColumn("_i", place)
+    marked = ranked.withColumn("truncated", F.max("_i").over(Window.partitionBy("doc_id")) > most)
+    return marked.where(F.col("_i") <= most).drop("_i")
 
 
 def audit(detections: DataFrame) -> DataFrame:

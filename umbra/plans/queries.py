@@ -226,6 +226,13 @@ def q_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "s.st", "s.entity", line_number(F.col("text"), F.col("s.st")).alias("line"))
 
 
+def q_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of identifiers raised where the word for them stands before them."""
+    units = composed(spark, sf_dir, IDENTIFIERS)
+    words = spark.createDataFrame([("NORWEGIAN_BANK_ACCOUNT", "account"), ("NORWEGIAN_PASSPORT", "passport"), ("NORWEGIAN_PHONE", "letter")], "entity string, word string")
+    return _found(detect.raised_by_context(detect.detect(units, _settings(NORWEGIAN)), units, words, 0.25, 10))
+
+
 def q_company_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return companies.company_roots(detect.detect(composed(spark, sf_dir, COMPANIES), _settings(frozenset({"NORWEGIAN_COMPANY"}))))
 
@@ -398,6 +405,8 @@ def oracle_sql() -> dict[str, str]:
         "resolve_in_order": in_order_sql(identified),
         "distinct_spans": f"select distinct doc_id, entity, value, st, en, max(score) over (partition by doc_id, entity, st, en) as score from ({spans_sql(CREDENTIALS, SECRET)})",
         "line_numbers": f"select doc_id, st, entity, cast({lines} as int) as line from ({spans_sql(docs, CONTACT)}) join documents using (doc_id)",
+        "context": f"""select doc_id, entity, value, st, en, rule, case when (entity = 'NORWEGIAN_BANK_ACCOUNT' and contains(near, 'account')) or (entity = 'NORWEGIAN_PASSPORT' and contains(near, 'passport'))
+ then least(score + 0.25, 1.0) else score end as score from (select *, lower(substr(text, greatest(st - 10, 0) + 1, en - st + least(st, 10) + 10)) as near from ({resolved_sql(identified)}) join ({IDENTIFIERS}) using (doc_id))""",
         "company_roots": roots,
         "root_hits": hits,
         "drop_common_text": f"select * from ({hits}) where {proper}",
