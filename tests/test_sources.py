@@ -185,7 +185,7 @@ def test_vaults(spark, tmp_path):
     vault.save_vault(table, 7, path, "secret pass", iterations=1000)
     assert vault.load_vault(spark, path, "secret pass") == tokens
     assert (tmp_path / "v.vault").stat().st_mode & 0o777 == 0o600
-    with pytest.raises(ValueError, match="Wrong password"):
+    with pytest.raises(ValueError, match="password is wrong"):
         vault.load_vault(spark, path, "other")
     held = json.loads((tmp_path / "v.vault").read_text())
     assert held["version"] == 1

@@ -97,7 +97,8 @@ _UUID = f"{_HEX}{{8}}(?:-{_HEX}{{4}}){{3}}-{_HEX}{{12}}"
 _BASE64 = "[A-Za-z0-9_-]"
 
 DETECTORS: tuple[Detector, ...] = (
-    # Norwegian identifiers. A national id that fails its check digits is still shown, at a low score.
+    # Patterns and scores of Norwegian identifiers, and scores of the special categories. A national id that
+    # fails its check digits is still shown, at a low score.
     Detector("NORWEGIAN_NATIONAL_ID", "plain", rf"{EXACT}\b{_DAY}{_MONTH}\d{{7}}\b", 0.85, check="national_id", otherwise=0.35),
     Detector("NORWEGIAN_NATIONAL_ID", "spaced", rf"{EXACT}\b{_DAY}{_MONTH}\d{{2}}\s\d{{3}}\s\d{{2}}\b", 0.85, check="national_id", otherwise=0.35),
     Detector("NORWEGIAN_D_NUMBER", "plain", rf"{ANY_CASE}\b(?:4[1-9]|[567]\d){_MONTH}\d{{7}}\b", 0.7),

@@ -9,8 +9,10 @@ from umbra.functions.spans import spliced
 
 #: A token: an entity of capitals, digits and underscores, and a number.
 TOKEN = r"\[([A-Z][A-Z0-9_]*)_([0-9]+)\]"
-#: What stands for a value without tokens, and how much longer than its value a token may be before a layout suffers.
+# What stands for a value without tokens, how much longer than its value a token may be before a layout
+# suffers, and what is said then.
 BLANK, LONGER = "[REDACTED]", 10
+WARNING = ("Token longer than original in '", "' — table layout may shift.")
 
 
 def counter_seeds(units: DataFrame) -> DataFrame:
@@ -59,7 +61,7 @@ def redact(units: DataFrame, detections: DataFrame, vault: DataFrame | None = No
 def layout_warnings(detections: DataFrame, vault: DataFrame) -> DataFrame:
     """(doc_id, ctx, warning) where a token is more than LONGER characters longer than its value."""
     joined = detections.where("redact").join(vault.select("doc_id", "value", "token"), ["doc_id", "value"])
-    return joined.where(F.length("token") - F.length("value") > LONGER).select("doc_id", "ctx", F.concat(F.lit("Token longer than original in '"), F.col("ctx"), F.lit("' — table layout may shift.")).alias("warning"))
+    return joined.where(F.length("token") - F.length("value") > LONGER).select("doc_id", "ctx", F.concat(F.lit(WARNING[0]), F.col("ctx"), F.lit(WARNING[1])).alias("warning"))
 
 
 def restored(text: Column, tokens: Column) -> Column:
