@@ -50,7 +50,7 @@ def fingerprint_column(text: Column, words: int = 4, seed: int = 42) -> Column:
     return of(text)
 
 
-def key_bits(n: int, half: int, rows_of_key: int = 2048, least: int = 8, most: int = 32) -> int:
+def key_bits(n: int, half: int, rows_of_key: int = 8192, least: int = 12, most: int = 32) -> int:
     """So many low bits that n fingerprints give a key about rows_of_key rows."""
     for b in range(least, most):
         if n * sum(comb(b, i) for i in range(half + 1)) <= rows_of_key << b:
@@ -63,7 +63,7 @@ def _masks(lo: int, hi: int, most: int) -> list[np.ndarray]:
     return [np.array([sum(1 << x for x in c) for c in combinations(range(lo, hi), i)], np.uint64) for i in range(most + 1)]
 
 
-def ball_links(fps: DataFrame, radius: int = 4, buffer_rows: int = 100_000) -> DataFrame:
+def ball_links(fps: DataFrame, radius: int = 4, buffer_rows: int = 60_000) -> DataFrame:
     """fps(fp long, rep long), one row per fingerprint -> links (u, v) between reps that join all within radius bits.
 
     Every fingerprint emits all variants within half the radius. Variants are shuffled by their low bits:
