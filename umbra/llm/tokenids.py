@@ -128,7 +128,7 @@ class Encoder:
     white space in a row, and other tokenizers, are encoded whole.
     """
 
-    KEPT, OFTEN = 1_000_000, 1
+    KEPT, OFTEN = 700_000, 1
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
