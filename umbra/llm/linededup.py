@@ -23,6 +23,11 @@ _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+#: Whether a byte is part of a word.
+_INSIDE = np.ones(256, bool)
+_INSIDE[[9, 10, 11, 12, 13, 32]] = False
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2**64, enough for n bytes; only those for up to 1 << 20 are kept."""
     size = 1 << max(16, n.bit_length())
@@ -53,16 +58,16 @@ def chunks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     none = np.zeros(0, np.int64)
     text = np.frombuffer(data, np.uint8)
-    inside = ~((text == 32) | ((text >= 9) & (text <= 13)))
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    edges = np.flatnonzero(np.diff(_INSIDE[text], prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
     if len(starts) < LEAST_WORDS:
         return none, none, none.astype(np.uint64)
     powers, inverses = _powers(len(text) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers[: len(text)], dtype=np.uint64)))
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(powers[: len(text)] * text, out=sums[1:])
     word = _mixed((sums[ends] - sums[starts]) * inverses[starts])
-    feeds = np.concatenate((np.zeros(1, np.int64), np.cumsum(text == 10)))
-    broken = np.append(feeds[starts[1:]] > feeds[ends[:-1]], True)
+    feeds = np.flatnonzero(text == 10)
+    broken = np.append(np.searchsorted(feeds, starts[1:]) > np.searchsorted(feeds, ends[:-1]), True)
     last = np.flatnonzero(broken | (word % np.uint64(WRAP) == 0))  # the last word of each line
     first = np.append(0, last[:-1] + 1)
     line = _mixed((sums[ends[last]] - sums[starts[first]]) * inverses[starts[first]])
