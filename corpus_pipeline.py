@@ -19,8 +19,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates."""
-    return simhash.keep_one_of_each(docs)
+    """The document of the smallest id of each group of near-duplicates: five-word shingles with a similarity of 0.8 or more."""
+    return simhash.keep_one_of_each(docs, similarity=0.8)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from umbra.llm.common import local_labels, materialize, small_batches
 from umbra.llm.components import connected_components
+from umbra.llm.similar import band_keys, shingle_set, similar_links
 
 _CHUNK = 1 << 16  # hashes whose bits are counted at once
 
@@ -24,19 +25,31 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     A-Z are lower-cased and words are runs of anything but ASCII white space, which is what bytes.lower()
     and bytes.split() do on UTF-8. Fewer words than a shingle: the whole sequence is the one shingle.
     """
+    return _majority(shingle_hashes(text, words, seed))
+
+
+def shingle_hashes(text: str | None, words: int = 4, seed: int = 42) -> Iterator[np.ndarray]:
+    """Hashes of a text's word shingles, in order, _CHUNK at a time."""
     w = text.encode("utf-8", "replace").lower().split() if text else []
     if not w:
-        return 0
+        return
     joined = b" ".join(w)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(w) - words + 1)
     ends = ends[words - 1 :] if len(w) >= words else ends[-1:]
-    ones = np.zeros(64, np.int64)
     for k in range(0, n, _CHUNK):
         part = [xxhash.xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts[k : min(n, k + _CHUNK)].tolist(), ends[k : k + _CHUNK].tolist(), strict=True)]
-        bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        yield np.array(part, np.uint64)
+
+
+def _majority(parts: Iterable[np.ndarray]) -> int:
+    ones = np.zeros(64, np.int64)
+    n = 0
+    for part in parts:
+        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
+        n += len(part)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
@@ -50,6 +63,23 @@ def fingerprint_column(text: Column, words: int = 4, seed: int = 42) -> Column:
     return of(text)
 
 
+def signature_column(text: Column, words: int) -> Column:
+    """fingerprint() as a signed long, and keys and shingles for similar_links()."""
+
+    @F.pandas_udf("fp long, keys array<long>, shingles binary")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        fps, keys, sets = [], [], []
+        for text in texts:
+            parts = list(shingle_hashes(text, words))
+            hashes = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+            fps.append(_majority(parts))
+            keys.append(band_keys(hashes))
+            sets.append(shingle_set(hashes))
+        return pd.DataFrame({"fp": np.array(fps, np.uint64).view(np.int64), "keys": keys, "shingles": sets})
+
+    return of(text)
+
+
 def key_bits(n: int, half: int, rows_of_key: int = 8192, least: int = 12, most: int = 32) -> int:
     """So many low bits that n fingerprints give a key about rows_of_key rows."""
     for b in range(least, most):
@@ -168,11 +198,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int, similarity: float) -> DataFrame:
+    """One row per document: id and component_id, over links between texts whose word shingles have that Jaccard similarity or more.
+
+    Within a radius of 4 bits lie few texts of a similarity below 0.95, so fingerprints give only a part of the candidates and bands
+    of minima the others; all are verified. Texts of equal sets of shingles are met first, so copies cost one row.
+    """
+    docs = small_batches(docs)
+    rows = docs.select(docs[id_col].alias("id"), signature_column(docs[text_col], words).alias("of"))
+    rows = materialize(rows.select("id", "of.*").withColumn("s", F.xxhash64("shingles")))
+    classes = materialize(rows.groupBy("s").agg(F.min("id").alias("rep"), F.min("fp").alias("fp")))
+    own = rows.join(classes.select("s", F.col("rep").alias("id")), ["s", "id"]).select("s", "keys", "shingles").dropDuplicates(["s"])
+    fps = materialize(classes.groupBy("fp").agg(F.min("s").alias("rep")))
+    same = classes.select("fp", F.col("s").alias("v")).join(fps.select("fp", F.col("rep").alias("u")), "fp").where("u <> v").select("u", "v")
+    part = materialize(connected_components(similar_links(own, ball_links(fps, radius).unionByName(same), similarity)))
+    named = classes.join(part, classes["s"] == part["node"], "left").select("s", "rep", F.coalesce("component", "s").alias("c"))
+    least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
+    return rows.select("id", "s").join(named.join(least, "c").select("s", "component_id"), "s").select(F.col("id").alias(id_col), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, similarity: float | None = None) -> DataFrame:
     """docs without the documents whose component has a smaller id; columns as they are.
 
-    Of rows that repeat an id all go or all stay; rows without an id stay.
+    Components are those of near_duplicates(), or of similar_groups() if a similarity is given. Of rows that repeat an id all go
+    or all stay; rows without an id stay.
     """
-    found = near_duplicates(docs, id_col, text_col, words, radius)
+    found = near_duplicates(docs, id_col, text_col, words, radius) if similarity is None else similar_groups(docs, id_col, text_col, words, radius, similarity)
     gone = materialize(found.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("gone")).distinct())
     return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
