@@ -55,6 +55,7 @@ class Items:
     ids: list[int]
     texts: list[np.ndarray]
     answers: list[int]  # words of the answer, the item's last
+    apart: bool = True  # question and answer were given apart, so the question has a threshold of its own
     lists: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # term -> items, impacts
     top: np.ndarray = field(default_factory=lambda: np.zeros(0))  # term -> its greatest impact
     block: int = 8
@@ -151,7 +152,7 @@ class Index:
             question = held(text[: len(text) - n])
             answer = len(np.intersect1d(text[len(text) - n :], passage)) / len(np.unique(text[len(text) - n :])) if n else 1.0
             key = items.ids[i]
-            if question >= OVERLAP and answer >= ANSWER and (key not in best or score * items.scale[i] > best[key]["score"]):
+            if (question >= OVERLAP or not items.apart) and answer >= ANSWER and (key not in best or score * items.scale[i] > best[key]["score"]):
                 best[key] = {"item_id": key, "at": at, "score": score * items.scale[i], "question_overlap": question, "answer_overlap": answer}
 
 
@@ -199,8 +200,8 @@ def _passages(items: Items, ids: list[np.ndarray]) -> Iterator[tuple[int, int, n
         yield doc, at, ids[doc][at : at + 2 * step]
 
 
-def build_index(rows: list[tuple[int, str, str]]) -> Index:
-    """rows of (id, question, answer); items without a word are left out."""
+def build_index(rows: list[tuple[int, str, str]], apart: bool = True) -> Index:
+    """rows of (id, question, answer), given apart or split by us; items without a word are left out."""
     split = [(i, words(q), words(a)) for i, q, a in rows]
     split = [x for x in split if x[1] or x[2]]
     seen = Counter(w for _, q, a in split for w in {*q, *a})
@@ -211,7 +212,7 @@ def build_index(rows: list[tuple[int, str, str]]) -> Index:
     by: dict[int, Items] = {}
     for i, q, a in sorted(split):
         longest = max(32, 1 << (len(q) + len(a) - 1).bit_length())
-        items = by.setdefault(longest, Items(longest, [], [], []))
+        items = by.setdefault(longest, Items(longest, [], [], [], apart))
         items.ids.append(i)
         items.texts.append(np.array([terms[w] for w in [*q, *a]], np.int32))
         items.answers.append(len(a))
@@ -233,7 +234,7 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
     found = []
     for k in range(parts):
         part = rows.where(F.pmod(F.xxhash64("id", "q"), F.lit(parts)) == k).collect()
-        found.append(build_index([(r["id"], *(split_item(r["q"]) if not answer_col else (r["q"], r["a"]))) for r in part]))
+        found.append(build_index([(r["id"], *(split_item(r["q"]) if not answer_col else (r["q"], r["a"]))) for r in part], bool(answer_col)))
     return [x for x in found if x.terms]
 
 
@@ -258,7 +259,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """One row per document and item that it holds: id, item_id, at, score, question_overlap, answer_overlap.
 
     Words are runs of letters, digits and underscores in lower case. An item is held if a passage scores its threshold by BM25,
-    and holds at least 0.8 of its five-word shingles and of its question's, and half of its answer's words; at is the passage's first word. Null and empty texts
+    and holds at least 0.8 of its five-word shingles and half of its answer's words, and of an item that comes as question and answer 0.8 of the question's shingles;
+    the answer of an item that is one text is its last sentence or line (split_item()). at is the passage's first word. Null and empty texts
     hold nothing; without items there are no rows. Every document is searched where it lies; only the indexes, of
     bounded size, are broadcast.
     """
