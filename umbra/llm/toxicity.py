@@ -152,11 +152,12 @@ def _marks(one: Counter, n1: int, other: Counter, n0: int, least: int, times: fl
     return [x for x in found if goes_on[x] < 0.9 * one[x]]
 
 
-def train(texts: list[str | None], toxic: list[int], ordinary_size: int = 4096, toxic_size: int = 8192, least: int = 4, times: float = 4.0, deviations: float = 5.0) -> Model:
+def train(texts: list[str | None], toxic: list[int], ordinary_size: int = 4096, toxic_size: int = 8192, least: int = 4, times: float = 4.0, deviations: float = 5.0, shares: tuple[float, float] = (1.0, 1.0)) -> Model:
     """Dictionaries from two thirds of the texts (by place), thresholds and weights from the rest.
 
     The toxic dictionary is trained on beginnings of words that toxic texts hold far oftener than ordinary ones;
-    the ordinary one on words of ordinary texts.
+    the ordinary one on words of ordinary texts. shares are those of ordinary and of toxic rows that were drawn; a row counts
+    1 / its share when weights are fitted, so that scores don't depend on how many were.
     """
     fit = [i for i in range(len(texts)) if i % 3]
     own = [_one_of_copies([_beginnings(texts[i]) for i in fit if (toxic[i] == 1) == one]) for one in (False, True)]
@@ -169,8 +170,11 @@ def train(texts: list[str | None], toxic: list[int], ordinary_size: int = 4096,
     )
     rest = [i for i in range(len(texts)) if not i % 3]
     y = np.array([float(toxic[i] == 1) for i in rest])
+    rows = np.where(y == 1, 1 / shares[1], 1 / shares[0])
+    rows /= rows.mean() if len(rows) else 1
     if not len(y) or y.min() == y.max() or not model.toxic:
-        rate = (sum(t == 1 for t in toxic) + 0.5) / (len(toxic) + 1)
+        bad = sum(t == 1 for t in toxic) / shares[1]
+        rate = (bad + 0.5) / (bad + sum(t != 1 for t in toxic) / shares[0] + 1)
         model.weights = np.array([min(-0.01, np.log(rate / (1 - rate))), 0.0, 0.0, 0.0])
         return model
     best = None
@@ -178,22 +182,22 @@ def train(texts: list[str | None], toxic: list[int], ordinary_size: int = 4096,
     for pair in ((low, high) for low in range(2, 8) for high in range(low + 1, 12)):
         model.thresholds = pair
         x = model.features(histograms)
-        w = _logistic(x, y)
+        w = _logistic(x, y, rows)
         p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
-        loss = -np.mean(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12))
+        loss = -np.mean(rows * (y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)))
         if best is None or loss < best[0] - 1e-9:
             best = (loss, pair, w)
     _, model.thresholds, model.weights = best
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, rows: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
     a = np.column_stack((np.ones(len(x)), x))
     w = np.zeros(a.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (p - y) + ridge * w
-        hess = (a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w))
+        grad = a.T @ (rows * (p - y)) + ridge * w
+        hess = (a * (rows * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         w = w - step
         if np.abs(step).max() < 1e-8:
@@ -209,7 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     rows = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("y") == 1, F.lit(min(1.0, docs_of_label / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, docs_of_label / max(1, counts.get(0, 0)))))
+    shares = tuple(min(1.0, docs_of_label / max(1, counts.get(y, 0))) for y in (0, 1))
+    share = F.when(F.col("y") == 1, F.lit(shares[1])).otherwise(F.lit(shares[0]))
     drawn = rows.where(F.pmod(F.xxhash64(F.lit("toxicity sample"), "id"), F.lit(1 << 30)) < share * (1 << 30))
     piece = F.when(F.length("text") <= chars, F.col("text")).otherwise(
         F.array_join(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: F.substring("text", F.floor(k * F.length("text") / 40).cast("int") + 1, F.lit(chars // 40))), " ")
@@ -217,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("text is not null")
     found = texts.join(F.broadcast(drawn), "id").select("id", "y", piece.alias("text")).toPandas()
     found = found.assign(o=[zlib.crc32(str(i).encode()) for i in found["id"]]).sort_values(["o", "id", "text"])
-    return train(found["text"].tolist(), found["y"].tolist())
+    return train(found["text"].tolist(), found["y"].tolist(), shares=shares)
 
 
 def score_column(model: Model, text: Column, docs: DataFrame) -> Column:
