@@ -18,8 +18,6 @@ BITS, VOCABULARY, TAIL = 16, 4096, 256
 LEVELS = VOCABULARY.bit_length() - 1
 #: Tokens on either side, width of the hidden layer, tokens per step of the network.
 WINDOW, WIDTH, STEP = 3, 24, 2048
-#: One token of so many is a target in training; every partition adds its own, so what is learnt from grows with the corpus.
-STRIDE = 16
 _PIECE = 1 << 18  # bytes of text that are hashed at once
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -180,7 +178,7 @@ def count_buckets(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def fit(docs: DataFrame, text_col: str = "text", rounds: int = 1, slices: int = 16, fan_in: int = 32) -> Network:
-    """Train on all documents: in a round each partition trains a copy of the network on its targets, and the copies
+    """Train on all documents: in a round each partition trains a copy of the network on all of its tokens as targets, and the copies
     are averaged by their numbers of targets, slice by slice, fan_in copies and then groups of copies at a time.
     """
     docs = small_batches(docs)
@@ -199,7 +197,7 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = 1, slices: int =
                     tokens = own.token[buckets(text)]
                     if not len(tokens):
                         continue
-                    at = np.arange(int(tokens[0]) % STRIDE, len(tokens), STRIDE)
+                    at = np.arange(len(tokens))
                     for k in range(0, len(at), STEP):
                         some = at[k : k + STEP]
                         lo, hi = int(some[0]), int(some[-1]) + 1
