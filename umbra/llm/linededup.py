@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from umbra.llm.common import materialize, small_batches
@@ -15,7 +15,7 @@ from umbra.llm.common import materialize, small_batches
 WRAP = 2
 #: Lines on either side whose rolling hashes a chunk's last line is less than.
 APART = 2
-#: Words that a chunk must have to be removed.
+#: Words that a run of adjacent repeated chunks must have to be removed.
 LEAST_WORDS = 8
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -49,12 +49,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def chunks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of a text's chunks of two lines or more and LEAST_WORDS words, and their 64-bit hashes.
+    """Starts and ends (bytes) of a text's chunks, and their 64-bit hashes; a text of fewer than LEAST_WORDS words has none.
 
     Lines end at line feeds, and in a line after words that hash to 0. A rolling hash covers each line and the one
     before; a line whose rolling hash is less than those of APART lines on either side ends a chunk. Whether it does depends
-    on these few lines alone, so a passage that is shifted, or stands among other lines, is cut in the same places; no
-    chunk has fewer than two lines. White space around a chunk is not part of it.
+    on these few lines alone, so a passage that is shifted, or stands among other lines, is cut in the same places. White space around a chunk is not part of it.
     """
     none = np.zeros(0, np.int64)
     text = np.frombuffer(data, np.uint8)
@@ -79,13 +78,12 @@ def chunks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cut[-1] = True
     to = np.flatnonzero(cut)
     of = np.append(0, to[:-1] + 1)
-    ok = (to > of) & (last[to] - first[of] + 1 >= LEAST_WORDS)
-    a, b = starts[first[of[ok]]], ends[last[to[ok]]]
+    a, b = starts[first[of]], ends[last[to]]
     return a, b, _mixed((sums[b] - sums[a]) * inverses[a] + (b - a).astype(np.uint64))
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """A row per chunk of all texts: its hash alone, and with document, place and text."""
+    """A row per chunk of all texts: its hash alone, and with document, place, number in the text, words and text."""
     docs = small_batches(docs)
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("h"), docs[text_col].alias("text")).where("text is not null")
 
@@ -98,22 +96,23 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
         for batch in batches:
             for at in range(0, len(batch), 500):
                 some = batch.iloc[at : at + 500]
-                cols: list[list] = [[], [], [], [], [], []]
+                cols: list[list] = [[], [], [], [], [], [], [], []]
                 for i, (h, t) in enumerate(zip(some["h"], some["text"], strict=True)):
                     data = t.encode("utf-8", "replace")
                     a, b, fp = chunks(data)
-                    for c, x in zip(cols, ([i] * len(a), [h] * len(a), a.tolist(), b.tolist(), fp.view(np.int64).tolist(), [data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]), strict=True):
+                    own = [data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                    for c, x in zip(cols, ([i] * len(a), [h] * len(a), a.tolist(), b.tolist(), fp.view(np.int64).tolist(), own, range(len(a)), [len(x.split()) for x in own]), strict=True):
                         c += x
-                yield pd.DataFrame({"id": some["id"].astype("Int64").to_numpy()[cols[0]] if some["id"].isna().any() else some["id"].to_numpy()[cols[0]], "h": cols[1], "start": cols[2], "end": cols[3], "fp": cols[4], "chunk": cols[5]})
+                yield pd.DataFrame({"id": some["id"].astype("Int64").to_numpy()[cols[0]] if some["id"].isna().any() else some["id"].to_numpy()[cols[0]], "h": cols[1], "start": cols[2], "end": cols[3], "fp": cols[4], "chunk": cols[5], "k": cols[6], "words": cols[7]})
 
-    return rows.select("text").mapInPandas(hashes, "fp long"), rows.mapInPandas(whole, "id long, h long, start long, end long, fp long, chunk binary")
+    return rows.select("text").mapInPandas(hashes, "fp long"), rows.mapInPandas(whole, "id long, h long, start long, end long, fp long, chunk binary, k long, words long")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per chunk that repeats an earlier one: id, h (xxhash64 of the text), start, end (bytes of the UTF-8 text), first_id.
 
     The occurrence of the smallest id, then h, then place is the first, and stays. Hashes only find candidates: a chunk goes only
-    if its bytes equal the first's. Rows that repeat id and text are one document. Hashes are counted before any text
+    if its bytes equal the first's, and the run of adjacent chunks that repeat has LEAST_WORDS words. Rows that repeat id and text are one document. Hashes are counted before any text
     is shuffled, and texts meet by hash in joins alone, which split a hot chunk.
     """
     hashes, occurrences = _occurrences(docs, id_col, text_col)
@@ -122,7 +121,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = found.groupBy("fp").agg(F.min(F.struct("id", "h", "start")).alias("first"))
     first = first.join(found.select("fp", "chunk", F.struct("id", "h", "start").alias("place")), "fp").where(F.col("first").eqNullSafe(F.col("place"))).select("fp", "first", F.col("chunk").alias("bytes"))
     same = found.join(first.dropDuplicates(["fp"]), "fp").where(F.col("chunk") == F.col("bytes"))
-    return same.where(~F.struct("id", "h", "start").eqNullSafe(F.col("first"))).select("id", "h", "start", "end", F.col("first.id").alias("first_id"))
+    again = same.where(~F.struct("id", "h", "start").eqNullSafe(F.col("first"))).select("id", "h", "start", "end", "k", "words", F.col("first.id").alias("first_id"))
+    text = Window.partitionBy("id", "h")
+    runs = again.withColumn("run", F.col("k") - F.row_number().over(text.orderBy("k")))
+    return runs.withColumn("n", F.sum("words").over(Window.partitionBy("id", "h", "run"))).where(F.col("n") >= LEAST_WORDS).select("id", "h", "start", "end", "first_id")
 
 
 def _repeated_rows(docs: DataFrame, id_col: str) -> bool:
