@@ -51,7 +51,8 @@ def with_matches(df: DataFrame, text_col: str, patterns: dict[str, str], guards:
     A text is searched once, and a second time if it matches, to measure the gaps: matches and gaps add up to the positions.
     What is referred to several times is a column first. Patterns must not match nothing.
     """
-    text = F.when(F.contains(F.col(text_col), F.lit(MARK)), F.translate(F.col(text_col), MARK, INSTEAD)).otherwise(F.col(text_col))
+    marked = F.contains(F.col(text_col), F.lit(MARK))
+    text = F.when(marked, F.translate(F.col(text_col), MARK, INSTEAD)).otherwise(F.col(text_col))
     guards = guards or {}
     own = {k: F.regexp_extract_all(text, F.lit(p), F.lit(0)) for k, p in patterns.items()}
     out = df.withColumns({f"{k}_m": F.when(guards[k], x) if k in guards else x for k, x in own.items()})
@@ -62,7 +63,11 @@ def with_matches(df: DataFrame, text_col: str, patterns: dict[str, str], guards:
 
     def match(k: str) -> Column:
         first = F.get(f"{k}_g", F.lit(0))
-        return F.zip_with(f"{k}_m", f"{k}_s", lambda m, x: F.struct(m.alias("value"), (first + x).alias("st"), (first + x + F.length(m)).alias("en")))
+
+        def value(m: Column, st: Column) -> Column:  # as it stands, where the text was looked at with another character in its place
+            return F.when(marked, F.substring(F.col(text_col), st + 1, F.length(m))).otherwise(m)
+
+        return F.zip_with(f"{k}_m", f"{k}_s", lambda m, x: F.struct(value(m, first + x).alias("value"), (first + x).alias("st"), (first + x + F.length(m)).alias("en")))
 
     empty = F.array().cast("array<struct<value:string,st:int,en:int>>")
     out = out.withColumns({k: F.when(some[k], match(k)).when(F.col(f"{k}_m").isNotNull(), empty) for k in patterns})

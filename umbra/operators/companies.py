@@ -20,11 +20,13 @@ def company_roots(detections: DataFrame) -> DataFrame:
 def root_hits(units: DataFrame, roots: DataFrame) -> DataFrame:
     """A detection for each place in a document's units where one of its roots occurs, whatever the case, inside words too.
 
-    Roots meet units by document alone. Matches of one root don't overlap each other.
+    Roots meet units by document alone. Matches of one root don't overlap each other. Characters are compared one by one, so that
+    places are those of the text as it is.
     """
-    joined = units.join(roots, "doc_id").where(F.contains(F.lower("text"), F.lower("root")))
-    low, root = F.lower("text"), F.lower("root")
-    gaps = F.split(low, F.concat(F.lit("\\Q"), root, F.lit("\\E")), -1)
+    quoted = F.concat(F.lit("(?iu)\\Q"), F.replace(F.col("root"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    known = roots.select(F.col("doc_id").alias("_doc"), "root")
+    joined = units.join(known, F.col("doc_id").eqNullSafe(F.col("_doc"))).withColumn("_pattern", quoted).where(F.regexp_like("text", F.col("_pattern")))
+    gaps = F.split(F.col("text"), F.col("_pattern"), -1)
     starts = F.aggregate(
         F.slice(F.transform(gaps, lambda g: F.length(g)), 1, F.size(gaps) - 1),
         F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out")),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,6 +124,25 @@ def from_outside(spans: DataFrame, units: DataFrame) -> DataFrame:
 
 
 
+def recognized(units: DataFrame, recognizer: Callable[[list[str]], list[list[tuple[str, int, int, float]]]]) -> DataFrame:
+    """Detections of a recognizer of the caller's (a model of names, places and groups): it gets the texts of a batch and returns spans
+    (entity, start, end, score) for each. Null texts aren't sent; spans outside a text are an error."""
+    kind = "array<struct<entity:string,st:int,en:int,score:double>>"
+
+    @F.pandas_udf(kind)
+    def found(texts: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+        some = texts[texts.notna()]
+        for i, text, spans in zip(some.index, some, recognizer(some.tolist()), strict=True):
+            if any(not 0 <= st < en <= len(text) for _, st, en, _ in spans):
+                raise ValueError("a recognizer's span lies outside its text")
+            out[i] = [{"entity": e, "st": st, "en": en, "score": score} for e, st, en, score in spans]
+        return out
+
+    each = exploded(units, found("text"), "s", "doc_id", "ctx", "ord", "text")
+    return each.select("doc_id", "ctx", "ord", "s.entity", F.expr("substring(text, s.st + 1, s.en - s.st)").alias("value"), "s.st", "s.en", "s.score", F.lit("outside").alias("rule"), F.lit(True).alias("redact"))
+
+
 def raised_by_context(detections: DataFrame, units: DataFrame, words: DataFrame, by: float, within: int, most: float = 1.0) -> DataFrame:
     """detections with scores raised `by`, up to `most`, where one of their type's words(entity, word) stands within so many characters
     before or after. Not part of detect(): how much a word raises a score is the caller's to say."""

@@ -9,6 +9,8 @@ from umbra.functions.spans import spliced
 
 #: A token: an entity of capitals, digits and underscores, and a number.
 TOKEN = r"\[([A-Z][A-Z0-9_]*)_([0-9]+)\]"
+#: Longer numbers in a text don't move the counters on: counting never gets there, so no token can equal them.
+DIGITS = 18
 # What stands for a value without tokens, how much longer than its value a token may be before a layout
 # suffers, and what is said then.
 BLANK, LONGER = "[REDACTED]", 10
@@ -16,9 +18,27 @@ WARNING = ("Token longer than original in '", "' — table layout may shift.")
 
 
 def counter_seeds(units: DataFrame) -> DataFrame:
-    """(doc_id, entity, seed): the greatest number of each entity's tokens that a document's text holds already."""
+    """(doc_id, entity, seed): the greatest number of each entity's tokens that a document's text holds already, numbers of over DIGITS
+    digits (zeros in front apart) left out."""
     found = units.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("t"))
-    return found.groupBy("doc_id", F.regexp_extract("t", TOKEN, 1).alias("entity")).agg(F.max(F.regexp_extract("t", TOKEN, 2).cast("long")).alias("seed"))
+    numbers = found.select("doc_id", F.regexp_extract("t", TOKEN, 1).alias("entity"), token_number(F.col("t")).alias("seed")).where("seed is not null")
+    return numbers.groupBy("doc_id", "entity").agg(F.max("seed").alias("seed"))
+
+
+def token_number(token: Column) -> Column:
+    """The number of a token; null if it has over DIGITS digits, zeros in front apart."""
+    digits = F.regexp_replace(F.regexp_extract(token, TOKEN, 2), "^0+(?=.)", "")
+    return F.when(F.length(digits) <= DIGITS, digits).cast("long")
+
+
+def _by(left: DataFrame, right: DataFrame, *keys: str, how: str = "left") -> DataFrame:
+    """A join by keys that counts nulls as equal, with the left side's keys."""
+    named = right.select(*[F.col(k).alias(f"_by_{k}") if k in keys else F.col(k) for k in right.columns])
+    on = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"_by_{k}"))
+        on = same if on is None else on & same
+    return left.join(named, on, how).drop(*[f"_by_{k}" for k in keys])
 
 
 def assign_tokens(detections: DataFrame, units: DataFrame | None = None, in_order: bool = False) -> DataFrame:
@@ -33,14 +53,16 @@ def assign_tokens(detections: DataFrame, units: DataFrame | None = None, in_orde
     numbered = first.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "entity").orderBy("met", "value")))
     seed = F.lit(0)
     if units is not None:
-        numbered = numbered.join(counter_seeds(units), ["doc_id", "entity"], "left")
+        numbered = _by(numbered, counter_seeds(units), "doc_id", "entity")
         seed = F.coalesce("seed", F.lit(0))
     token = F.concat(F.lit("["), F.col("entity"), F.lit("_"), (F.col("n") + seed).cast("string"), F.lit("]"))
     return numbered.select("doc_id", "value", "entity", token.alias("token"))
 
 
 def redact(units: DataFrame, detections: DataFrame, vault: DataFrame | None = None) -> DataFrame:
-    """units with the values of standing detections (redact only) replaced by their tokens, or by BLANK without a vault.
+    """units with the values of standing detections (redact only) replaced by their tokens, or by BLANK without a vault or where the vault
+    lacks the value: nothing that is to be redacted stays. Null ids and null places are met like any other; units that share both
+    lose the spans of all of them. Of several tokens of a value the least is taken.
 
     A unit's spans come together by unit; overlapping ones are resolved again, so that an unticked winner brings no loser back
     and the text is spliced in one pass.
@@ -52,15 +74,15 @@ def redact(units: DataFrame, detections: DataFrame, vault: DataFrame | None = No
     if vault is None:
         chosen = chosen.withColumn("token", F.lit(BLANK))
     else:
-        chosen = chosen.join(vault.select("doc_id", "value", "token"), ["doc_id", "value"])
+        chosen = _by(chosen, vault.groupBy("doc_id", "value").agg(F.min("token").alias("token")), "doc_id", "value").withColumn("token", F.coalesce("token", F.lit(BLANK)))
     by = chosen.groupBy("doc_id", "ord").agg(F.array_sort(F.collect_list(F.struct("st", "en", "token"))).alias("_spans"))
-    joined = units.join(by, ["doc_id", "ord"], "left")
+    joined = _by(units, by, "doc_id", "ord")
     return joined.select("doc_id", "ctx", "ord", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(spliced(F.col("text"), F.col("_spans"), "token")).alias("text"))
 
 
 def layout_warnings(detections: DataFrame, vault: DataFrame) -> DataFrame:
     """(doc_id, ctx, warning) where a token is more than LONGER characters longer than its value."""
-    joined = detections.where("redact").join(vault.select("doc_id", "value", "token"), ["doc_id", "value"])
+    joined = _by(detections.where("redact"), vault.groupBy("doc_id", "value").agg(F.min("token").alias("token")), "doc_id", "value", how="inner")
     return joined.where(F.length("token") - F.length("value") > LONGER).select("doc_id", "ctx", F.concat(F.lit(WARNING[0]), F.col("ctx"), F.lit(WARNING[1])).alias("warning"))
 
 
@@ -73,7 +95,8 @@ def restored(text: Column, tokens: Column) -> Column:
 
 
 def restore(units: DataFrame, vault: DataFrame) -> DataFrame:
-    """units with their documents' tokens replaced by the vault's values."""
-    maps = vault.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("_vault"))
-    joined = units.join(maps, "doc_id", "left")
+    """units with their documents' tokens replaced by the vault's values; of several values of a token the least."""
+    each = vault.where("token is not null").groupBy("doc_id", "token").agg(F.min("value").alias("value"))
+    maps = each.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("_vault"))
+    joined = _by(units, maps, "doc_id")
     return joined.select("doc_id", "ctx", "ord", F.when(F.col("_vault").isNull(), F.col("text")).otherwise(restored(F.col("text"), F.col("_vault"))).alias("text"))

@@ -34,8 +34,8 @@ def sorted_report(groups: DataFrame, by: str, descending: bool = False) -> DataF
 
 def toggled(detections: DataFrame, choices: DataFrame) -> DataFrame:
     """detections with redact as chosen(doc_id, entity, value, redact) for whole groups, else as it was."""
-    picked = choices.select("doc_id", "entity", "value", F.col("redact").alias("_redact"))
-    joined = detections.join(picked, ["doc_id", "entity", "value"], "left")
+    picked = choices.select(F.col("doc_id").alias("_doc"), F.col("entity").alias("_entity"), F.col("value").alias("_value"), F.col("redact").alias("_redact"))
+    joined = detections.join(picked, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("entity") == F.col("_entity")) & (F.col("value") == F.col("_value")), "left")
     return joined.withColumn("redact", F.coalesce("_redact", "redact")).drop("_redact").select(*detections.columns)
 
 
@@ -58,8 +58,9 @@ def audit(detections: DataFrame) -> DataFrame:
     """A record per document: redacted_count and a map of counts by entity, of detections to be redacted."""
     by = detections.where("redact").groupBy("doc_id", "entity").agg(F.count("*").alias("n"))
     some = by.groupBy("doc_id").agg(F.sum("n").alias("redacted_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity", "n")))).alias("entity_types"))
-    every = detections.select("doc_id").distinct().join(some, "doc_id", "left")
-    return every.select("doc_id", F.coalesce("redacted_count", F.lit(0)).cast("long").alias("redacted_count"), F.coalesce("entity_types", F.create_map().cast("map<string,bigint>")).alias("entity_types"))
+    every = detections.select("doc_id").distinct().withColumnRenamed("doc_id", "id")
+    every = every.join(some, F.col("id").eqNullSafe(F.col("doc_id")), "left")
+    return every.select(F.col("id").alias("doc_id"), F.coalesce("redacted_count", F.lit(0)).cast("long").alias("redacted_count"), F.coalesce("entity_types", F.create_map().cast("map<string,bigint>")).alias("entity_types"))
 
 
 def append_audit(records: DataFrame, path: str, source: str = "", output: str = "") -> None:

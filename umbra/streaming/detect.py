@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from umbra.functions.spans import exploded
 from umbra.operators.detect import Settings, detect, standing_spans
+from umbra.operators.redact import TOKEN, token_number
 
 
 def detect_stream(units: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -19,13 +20,18 @@ def detect_stream(units: DataFrame, settings: Settings = Settings()) -> DataFram
 
 
 def number_stream(units: DataFrame, settings: Settings = Settings(), forget_after_ms: int | None = None) -> DataFrame:
-    """A stream of units -> a stream of (doc_id, value, entity, token): tokens numbered by document across batches.
+    """A stream of units -> a stream of (doc_id, value, entity, token): tokens numbered by document across batches, past the tokens that
+    its texts hold already (as far as they have come).
 
     State by document: the last number of each entity, and the tokens of its values. forget_after_ms drops the state of a document
     that long without news; streams that never end need it, while a stream that is to end with its input can't have it.
     Values of a batch are met in order of their unit, then from the last span to the first.
     """
-    found = exploded(standing_spans(units, settings), "_standing", "s", "doc_id", "ord").select("doc_id", "ord", "s.entity", "s.value", "s.st")
+    kind = "array<struct<entity:string,value:string,st:int,seed:bigint>>"
+    held = F.transform(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), lambda t: F.struct(F.regexp_extract(t, TOKEN, 1).alias("entity"), F.lit(None).cast("string").alias("value"), F.lit(0).alias("st"), token_number(t).alias("seed")))
+    met = F.transform("_standing", lambda s: F.struct(s["entity"].alias("entity"), s["value"].alias("value"), s["st"].alias("st"), F.lit(None).cast("bigint").alias("seed")))
+    both = F.concat(F.coalesce(met, F.array().cast(kind)), F.coalesce(held, F.array().cast(kind)))
+    found = exploded(standing_spans(units, settings), both, "s", "doc_id", "ord").select("doc_id", "ord", "s.*")
 
     def number(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -33,10 +39,16 @@ def number_stream(units: DataFrame, settings: Settings = Settings(), forget_afte
             return
         counters, values = ({}, {}) if not state.exists else (dict(zip(*state.get[:2], strict=True)), dict(zip(*state.get[2:], strict=True)))
         fresh = []
-        rows = pd.concat(list(batches))
-        for entity, value in rows.sort_values(["ord", "st"], ascending=[True, False])[["entity", "value"]].itertuples(index=False):
-            if value in values:
-                continue
+        first: dict[str, tuple] = {}  # a new value's first place in this batch: a row a value is held, not a row a detection
+        for rows in batches:
+            for place, st, entity, value, seed in zip(rows["ord"], rows["st"], rows["entity"], rows["value"], rows["seed"], strict=True):
+                if value is None:
+                    if not pd.isna(seed):
+                        counters[entity] = max(counters.get(entity, 0), int(seed))
+                elif value not in values:
+                    met = (-1 if pd.isna(place) else place, -st, entity)
+                    first[value] = min(first.get(value, met), met)
+        for value, (_, _, entity) in sorted(first.items(), key=lambda x: (x[1], x[0])):
             counters[entity] = counters.get(entity, 0) + 1
             values[value] = f"[{entity}_{counters[entity]}]"
             fresh.append((key[0], value, entity, values[value]))
