@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbra.operators.redact import TOKEN
 from umbra.sources import formats
 
 _UNITS = "path string, format string, ctx string, ord int, text string, kind string, error string"
@@ -98,6 +100,34 @@ def replace_in_files(files: DataFrame, spans: DataFrame) -> DataFrame:
     return joined.mapInPandas(write, "path string, format string, content binary, error string")
 
 
+def restore_files(files: DataFrame, vault: DataFrame) -> DataFrame:
+    """files and vault(path, token, value) -> (path, format, content, error) with the tokens of each file's own vault replaced by their values,
+    whatever the format that can be written. Tokens that the vault lacks stay; of several values of a token the least is taken."""
+    each = vault.where("token is not null").groupBy("path", "token").agg(F.min("value").alias("value"))
+    maps = each.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("tokens"))
+    joined = files.join(maps, "path", "left").select("path", "format", "content", "tokens")
+    token = re.compile(TOKEN)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, kind, content, tokens in batch.itertuples(index=False):
+                known = dict(tokens) if tokens is not None else {}
+                try:
+                    if kind is None:
+                        raise ValueError(f"unsupported file type: {formats.suffix_of(path)}")
+                    spans: formats.Spans = {}
+                    for ctx, text, what in formats.READERS[kind](bytes(content)) if known else ():
+                        own = [(m.start(), m.end(), known[m[0]]) for m in token.finditer(text) if m[0] in known]
+                        if own and what == "text":
+                            spans[ctx] = own
+                    row = (path, kind, formats.WRITERS[kind](bytes(content), spans) if spans else bytes(content), None)
+                except Exception as e:  # as in units()
+                    row = (path, kind, None, f"{type(e).__name__}: {e}")
+                yield pd.DataFrame([row], columns=["path", "format", "content", "error"])
+
+    return joined.mapInPandas(write, "path string, format string, content binary, error string")
+
+
 def sanitized_name(path: Column) -> tuple[Column, Column]:
     """Names of the sanitized file and of its vault: stem, _sanitized, and the suffix or .vault."""
     stem = F.regexp_replace(path, r"\.[^./]*$", "")

@@ -19,7 +19,7 @@ from xml.etree import ElementTree as ET
 Unit = tuple[str, str, str]
 Spans = dict[str, list[tuple[int, int, str]]]
 
-# Suffixes by format, nesting depth of JSON that is walked, and the sum of sizes that an archive may declare.
+# Suffixes by format, and the sum of sizes that an archive may declare.
 ROUTES = {
     "pdf": (".pdf",),
     "docx": (".docx", ".dotx"),
@@ -30,7 +30,6 @@ ROUTES = {
     "json": (".json",),
     "text": (".txt", ".log", ".csv", ".yaml", ".yml", ".xml", ".ini", ".env", ".toml", ".md"),
 }
-JSON_DEPTH = 200
 ARCHIVE_BYTES = 500 * 1024 * 1024
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -84,17 +83,17 @@ def text_replaced(data: bytes, spans: Spans) -> bytes:
     return replaced(data.decode("utf-8", "replace"), spans.get("", [])).encode()
 
 
-def _leaves(value: object, path: str = "", depth: int = 0) -> Iterator[tuple[str, str]]:
-    if depth > JSON_DEPTH:
-        return
-    if isinstance(value, str):
-        yield path, value
-    elif isinstance(value, dict):
-        for k, v in value.items():
-            yield from _leaves(v, f"{path}.{k}" if path else k, depth + 1)
-    elif isinstance(value, list):
-        for i, v in enumerate(value):
-            yield from _leaves(v, f"{path}[{i}]", depth + 1)
+def _leaves(value: object) -> Iterator[tuple[str, str]]:
+    """Path and text of each string, in order, however deep it lies."""
+    left: list[tuple[str, object]] = [("", value)]
+    while left:
+        path, v = left.pop()
+        if isinstance(v, str):
+            yield path, v
+        elif isinstance(v, dict):
+            left += [(f"{path}.{k}" if path else k, x) for k, x in reversed(v.items())]
+        elif isinstance(v, list):
+            left += [(f"{path}[{i}]", x) for i, x in reversed(list(enumerate(v)))]
 
 
 def _parsed(data: bytes) -> tuple[bool, object]:
@@ -105,7 +104,7 @@ def _parsed(data: bytes) -> tuple[bool, object]:
 
 
 def json_units(data: bytes) -> list[Unit]:
-    """String leaves by path (keys and numbers aren't looked at); what doesn't parse is one text."""
+    """String leaves by path (keys and numbers aren't looked at); what doesn't parse, or lies deeper than the parser goes, is one text."""
     ok, value = _parsed(data)
     return [(p, v, "text") for p, v in _leaves(value)] if ok else text_units(data)
 
@@ -115,18 +114,18 @@ def json_replaced(data: bytes, spans: Spans) -> bytes:
     if not ok:
         return text_replaced(data, spans)
 
-    def walk(v: object, path: str = "", depth: int = 0) -> object:
-        if depth > JSON_DEPTH:
-            return v
+    root = [value]
+    left: list[tuple[str, dict | list, object]] = [("", root, 0)]
+    while left:
+        path, holder, key = left.pop()
+        v = holder[key]
         if isinstance(v, str):
-            return replaced(v, spans.get(path, []))
-        if isinstance(v, dict):
-            return {k: walk(x, f"{path}.{k}" if path else k, depth + 1) for k, x in v.items()}
-        if isinstance(v, list):
-            return [walk(x, f"{path}[{i}]", depth + 1) for i, x in enumerate(v)]
-        return v
-
-    return json.dumps(walk(value), indent=2, ensure_ascii=False).encode()
+            holder[key] = replaced(v, spans.get(path, []))
+        elif isinstance(v, dict):
+            left += [(f"{path}.{k}" if path else k, v, k) for k in v]
+        elif isinstance(v, list):
+            left += [(f"{path}[{i}]", v, i) for i in range(len(v))]
+    return json.dumps(root[0], indent=2, ensure_ascii=False).encode()
 
 
 # Archives of XML
@@ -413,32 +412,85 @@ _SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\b(?:Tj|TJ|Td|TD|Tm
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
-def pdf_units(data: bytes) -> list[Unit]:
-    """Text of each page, from 1. Plain PDFs: objects outside object streams, content plain or deflated, one-byte characters.
-    Pages without such text come empty, and drawing over a page's text is not done here."""
+_REFERENCE = re.compile(rb"(\d+)\s+\d+\s+R\b")
+
+
+def _pdf_stream(body: bytes, most: int = ARCHIVE_BYTES) -> bytes:
+    m = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)
+    if not m:
+        return b""
+    if b"FlateDecode" not in body[: m.start()]:
+        return m[1]
+    inflate = zlib.decompressobj()
+    try:
+        out = inflate.decompress(m[1], most)
+    except zlib.error as e:
+        raise ValueError(f"a stream can't be inflated: {e}") from e
+    if inflate.unconsumed_tail:
+        raise ValueError(f"a stream inflates to over {most} bytes")
+    return out
+
+
+def _pdf_objects(data: bytes) -> dict[int, bytes]:
+    """Objects by number, those in object streams too."""
     objects = {int(n): body for n, body in _OBJECT.findall(data)}
+    for body in list(objects.values()):
+        head = body.split(b"stream", 1)[0]
+        if not re.search(rb"/Type\s*/ObjStm\b", head):
+            continue
+        first = re.search(rb"/First\s+(\d+)", head)
+        inner = _pdf_stream(body)
+        if not first:
+            raise ValueError("an object stream doesn't say where its objects begin")
+        at = int(first[1])
+        numbers = [int(x) for x in inner[:at].split()]
+        places = [*numbers[1::2], len(inner) - at]
+        for n, a, b in zip(numbers[::2], places, places[1:], strict=False):
+            objects.setdefault(n, inner[at + a : at + b])
+    return objects
+
+
+def _pdf_pages(objects: dict[int, bytes]) -> list[int]:
+    """Pages in the order of the page tree; in that of their numbers if there is none."""
+    pages = [n for n in sorted(objects) if re.search(rb"/Type\s*/Page\b", objects[n])]
+    root = next((m for b in objects.values() if re.search(rb"/Type\s*/Catalog\b", b) and (m := re.search(rb"/Pages\s+(\d+)\s+\d+\s+R", b))), None)
+    found, left, seen = [], [int(root[1])] if root else [], set()
+    while left:
+        n = left.pop()
+        if n in seen or n not in objects:
+            continue
+        seen.add(n)
+        kids = re.search(rb"/Kids\s*\[([^\]]*)\]", objects[n])
+        if kids:
+            left += [int(x) for x in reversed(_REFERENCE.findall(kids[1]))]
+        elif n in pages:
+            found.append(n)
+    return [*found, *[n for n in pages if n not in seen]]
 
-    def stream(body: bytes) -> bytes:
-        m = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)
-        if not m:
-            return b""
-        try:
-            return zlib.decompressobj().decompress(m[1]) if b"FlateDecode" in body else m[1]
-        except zlib.error:
-            return b""
+
+def pdf_units(data: bytes) -> list[Unit]:
+    """Text of each page, from 1, in the order of the page tree. Content plain or deflated, objects in object streams or not, one-byte characters.
+
+    A file with pages of which none holds such text (scanned pages, other encodings, encryption) is an error: it must not pass for one without
+    findings. Pages are read, not written.
+    """
+    if re.search(rb"/Encrypt\b", data):
+        raise ValueError("the PDF is encrypted")
+    objects = _pdf_objects(data)
 
     def literal(x: bytes) -> bytes:
         if x[:1] == b"<":
-            return bytes.fromhex(x[1:-1].decode().replace(" ", "").ljust(len(x[1:-1]) // 2 * 2, "0"))
+            digits = re.sub(rb"\s", b"", x[1:-1]).decode()
+            return bytes.fromhex(digits + "0" * (len(digits) % 2))
         return re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else _ESCAPES.get(m[1], m[1]), x[1:-1], flags=re.S)
 
     units = []
-    pages = [n for n in sorted(objects) if re.search(rb"/Type\s*/Page\b", objects[n])]
+    pages = _pdf_pages(objects)
     for page, n in enumerate(pages, 1):
         refs = re.search(rb"/Contents\s*(?:\[([^\]]*)\]|(\d+)\s+\d+\s+R)", objects[n])
-        ids = [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", refs[1])] if refs and refs[1] else [int(refs[2])] if refs else []
+        ids = [int(x) for x in _REFERENCE.findall(refs[1])] if refs and refs[1] else [int(refs[2])] if refs else []
         text, held = "", b""
-        for x in _SHOWN.findall(b"\n".join(stream(objects.get(i, b"")) for i in ids)):
+        for x in _SHOWN.findall(b"\n".join(_pdf_stream(objects.get(i, b"")) for i in ids)):
             if x[:1] in b"(<":
                 held += literal(x)
             else:
@@ -447,6 +499,8 @@ def pdf_units(data: bytes) -> list[Unit]:
                 if x in (b"Td", b"TD", b"T*", b"'", b'"', b"ET", b"Tm") and text and not text.endswith("\n"):
                     text += "\n"
         units.append((f"page {page}", text.strip("\n"), "text"))
+    if not any(text for _, text, _ in units):
+        raise ValueError(f"no text could be read from the PDF's {len(pages)} pages")
     return units
 
 
