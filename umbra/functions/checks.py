@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Weights of the two check digits of a national id.
 FIRST_WEIGHTS = (3, 7, 6, 1, 8, 9, 4, 5, 2)
 SECOND_WEIGHTS = (5, 4, 3, 2, 7, 6, 5, 4, 3, 2)
+#: Weights of the check digit of an organisation number.
+ORG_WEIGHTS = (3, 2, 7, 6, 5, 4, 3, 2)
 
 
 def digits(value: Column) -> Column:
@@ -35,6 +37,13 @@ def national_id(value: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def org_number(value: Column) -> Column:
+    """Whether the last of nine digits is right: 11 less the weighted sum's remainder, 0 for 0; a remainder of 1 is never right."""
+    d = digits(value)
+    r = _remainder(d, ORG_WEIGHTS)
+    return F.coalesce((F.length(d) == 9) & (r != 1) & (_digit(d, 8) == F.when(r == 0, F.lit(0)).otherwise(11 - r)), F.lit(False))
+
+
 def luhn(value: Column) -> Column:
     d = digits(value)
     return F.length(d).between(13, 19) & F.coalesce(F.call_function("luhn_check", d), F.lit(False))
@@ -52,4 +61,4 @@ def iban(value: Column) -> Column:
     return F.length(v).between(15, 34) & (F.aggregate(F.filter(turned, lambda c: c != ""), F.lit(0), add) == 1)
 
 
-CHECKS = {"national_id": national_id, "luhn": luhn, "iban": iban}
+CHECKS = {"national_id": national_id, "org_number": org_number, "luhn": luhn, "iban": iban}

@@ -139,6 +139,21 @@ DETECTORS: tuple[Detector, ...] = (
     Detector("PHONE_NUMBER", "international", rf"{ANY_CASE}(?<![0-9+])\+[1-9][0-9]{{0,2}}(?:[ .-]?[0-9]{{2,4}}){{2,5}}(?![0-9])", 0.4, needs=("+",)),
     Detector("CREDIT_CARD", "grouped", rf"{ANY_CASE}(?<![0-9-])[3-6][0-9]{{3}}(?:[ -]?[0-9]{{4}}){{2}}[ -]?[0-9]{{1,4}}(?![0-9-]*[0-9])", 1.0, check="luhn"),
     Detector("IBAN_CODE", "grouped", rf"{ANY_CASE}\b[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?\b", 1.0, check="iban"),
+    Detector("AWS_ARN", "name", rf"{ANY_CASE}\barn:aws[a-z-]*:[a-z0-9-]+:[a-z0-9-]*:[0-9]*:[^\s\"'<>]+", 0.85, needs=("arn:aws",)),
+    Detector("AWS_ACCOUNT_ID", "grouped", rf"{ANY_CASE}\b[0-9]{{4}}-[0-9]{{4}}-[0-9]{{4}}\b", 0.4, needs=("-",)),
+    Detector("AWS_ACCOUNT_ID", "after its name", rf"{ANY_CASE}\baccount[ _-]?id[\"' ]*[:=][\"' ]*[0-9]{{12}}\b", 0.7, needs=("account",)),
+    Detector("AZURE_CONNECTION_STRING", "pairs", rf"{ANY_CASE}\b(?:DefaultEndpointsProtocol|Endpoint|AccountName|Server)=[^\s\"'<>]*;(?:AccountKey|SharedAccessKey|Password|Pwd)=[^\s\"'<>]+", 0.95, needs=("key=", "password=", "pwd=")),
+    Detector("AZURE_CLIENT_SECRET", "marked", rf"{EXACT}\b[A-Za-z0-9_~.-]{{3}}[0-9]Q~[A-Za-z0-9_~.-]{{31,34}}", 0.9, needs=("q~",)),
+    Detector("AZURE_RESOURCE_ID", "path", rf"{ANY_CASE}/subscriptions/{_UUID}(?:/[a-z0-9._()-]+)*", 0.85, needs=("/subscriptions/",)),
+    Detector("AZURE_TENANT_DOMAIN", "domain", rf"{ANY_CASE}\b[a-z0-9][a-z0-9-]*\.onmicrosoft\.com\b", 0.8, needs=(".onmicrosoft.com",)),
+    Detector("AZURE_RESOURCE_NAME", "host", rf"{ANY_CASE}\b[a-z0-9][a-z0-9-]*\.(?:(?:blob|file|queue|table|dfs)\.core\.windows\.net|database\.windows\.net|vault\.azure\.net|azurewebsites\.net)\b", 0.7, needs=(".windows.net", ".azure.net", ".azurewebsites.net")),
+    Detector("GCP_SERVICE_ACCOUNT", "address", rf"{ANY_CASE}\b[a-z][a-z0-9-]*@[a-z][a-z0-9-]*\.iam\.gserviceaccount\.com\b", 0.9, needs=(".gserviceaccount.com",)),
+    Detector("GCP_API_KEY", "key", rf"{EXACT}\bAIza[A-Za-z0-9_-]{{35}}", 0.9, needs=("aiza",)),
+    Detector("GENERIC_SECRET", "after its name", rf"{ANY_CASE}\b(?:password|passwd|passord|secret|api[_-]?key|access[_-]?token)[\"']?[ ]*[:=][ ]*[\"']?[^\s\"'<>,;]{{8,}}", 0.6, needs=("passw", "passord", "secret", "key", "token")),
+    Detector("INTERNAL_HOSTNAME", "suffix", rf"{ANY_CASE}\b[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.(?:local|internal|intern|corp|lan)\b", 0.6, needs=(".local", ".intern", ".corp", ".lan")),
+    Detector("NORWEGIAN_ORG_NUMBER", "check digit", rf"{EXACT}\b[89][0-9]{{2}} ?[0-9]{{3}} ?[0-9]{{3}}\b", 0.7, check="org_number"),
+    Detector("FILE_PATH", "drive", rf"{ANY_CASE}\b[a-z]:\\(?:[^\s\\/:*?\"<>|]+\\)*[^\s\\/:*?\"<>|]+", 0.5, needs=(":\\",)),
+    Detector("FILE_PATH", "root", rf"{ANY_CASE}(?<![\w/.:])/(?:home|users|etc|var|usr|opt|srv|mnt|tmp|root)/[^\s\"'<>:;,]+", 0.5, needs=("/",)),
     Detector("NORWEGIAN_COMPANY", "legal form", rf"{EXACT}\b[A-ZÆØÅ][\p{{L}}0-9&-]*(?:[ \t]+[A-ZÆØÅ0-9&][\p{{L}}0-9&-]*){{0,4}}?[ \t]+(?:{'|'.join(LEGAL_FORMS)})\b", 0.6),
 )
 

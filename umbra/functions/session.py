@@ -25,6 +25,17 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own if the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="umbra-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base}/umbra-{spark.sparkContext.applicationId}"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores if it comes from fewer files than there are cores; tables of many files stay as they lie."""
     cores = df.sparkSession.sparkContext.defaultParallelism

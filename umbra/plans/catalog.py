@@ -32,13 +32,12 @@ MEDIUM = {
 
 #: Types that come as spans from outside (a model of named entities), and go through suppression here.
 EXTERNAL = {"PERSON", "LOCATION", "NRP"}
-#: Types of which no pattern, test or description is known; rows of a detector for them can be supplied.
-UNSPECIFIED = {
+#: Types whose detector is of our own definition, as theirs isn't known; others can be supplied.
+OWN = {
+    "EMAIL_ADDRESS", "PHONE_NUMBER", "IP_ADDRESS", "URL", "CREDIT_CARD", "IBAN_CODE", "NORWEGIAN_COMPANY",
     "AWS_ARN", "AWS_ACCOUNT_ID", "AZURE_CONNECTION_STRING", "AZURE_CLIENT_SECRET", "AZURE_RESOURCE_ID", "AZURE_TENANT_DOMAIN", "AZURE_RESOURCE_NAME",
     "GCP_SERVICE_ACCOUNT", "GCP_API_KEY", "GENERIC_SECRET", "INTERNAL_HOSTNAME", "NORWEGIAN_ORG_NUMBER", "FILE_PATH",
 }
-#: Types whose detector is of our own definition, as theirs isn't known.
-OWN = {"EMAIL_ADDRESS", "PHONE_NUMBER", "IP_ADDRESS", "URL", "CREDIT_CARD", "IBAN_CODE", "NORWEGIAN_COMPANY"}
 #: Types known by what tests of them ask for.
 BY_TEST = {"AZURE_UUID", "AZURE_SAS_TOKEN", "JWT_BEARER_TOKEN", "CERTIFICATE_THUMBPRINT", "M365_TENANT_URL", "AWS_ACCESS_KEY", "PRIVATE_IP"}
 
@@ -55,7 +54,7 @@ def group(entity: str) -> str:
 
 
 def status(entity: str) -> str:
-    for name, members in (("external", EXTERNAL), ("unspecified", UNSPECIFIED), ("own", OWN), ("by test", BY_TEST)):
+    for name, members in (("external", EXTERNAL), ("own", OWN), ("by test", BY_TEST)):
         if entity in members:
             return name
     return "specified"

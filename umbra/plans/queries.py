@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.functions.patterns import DETECTORS, Detector
-from umbra.functions.session import spread
+from umbra.functions.session import scratch_dir, spread
 from umbra.functions.spans import exploded, line_number
 from umbra.operators import companies, detect, overlap, redact, report, suppress
 from umbra.operators.detect import Settings
@@ -44,6 +44,12 @@ CREDENTIALS = f"""select s_suppkey as doc_id, 'key AKIA' || {_pad("s_suppkey", 8
  || cast(s_suppkey * 7 % 256 as string) || ', mail a.' || cast(s_suppkey as string) || '@example.org, print ' || {_pad("s_suppkey", 40)} || ' card 4111 1111 1111 ' || {_pad("s_suppkey % 10000", 4)} as text from supplier"""
 CELLS = """select p_partkey as doc_id, case p_partkey % 6 when 0 then '=IMAGE("https://h.example/' || p_name || '")' when 1 then '=SUM(A1:A' || cast(p_size as string) || ')' when 2 then '=webservice("x")'
  when 3 then '=HYPERLINK("http://h.example","' || p_name || '")' when 4 then p_name || ' https://h.example' else '=LEN(A1)' end as text from part"""
+CLOUD = f"""select s_suppkey as doc_id, 'arn:aws:iam::' || {_pad("s_suppkey", 12)} || ':role/r' || cast(s_suppkey as string) || ' of 1234-5678-' || {_pad("s_suppkey % 10000", 4)} || ', account_id = ' || {_pad("s_suppkey * 3", 12)}
+ || ' and DefaultEndpointsProtocol=https;AccountName=a' || cast(s_suppkey as string) || ';AccountKey=' || {_pad("s_suppkey", 20)} || '== with abc8Q~' || {_pad("s_suppkey", 32)} || ' at /subscriptions/12345678-1234-1234-1234-' || {_pad("s_suppkey", 12)}
+ || '/resourceGroups/g' || cast(s_suppkey as string) || ' of firm' || cast(s_suppkey as string) || '.onmicrosoft.com on st' || cast(s_suppkey as string) || '.blob.core.windows.net by bot-' || cast(s_suppkey as string)
+ || '@proj.iam.gserviceaccount.com, AIza' || {_pad("s_suppkey", 35)} || ' password: hunter' || {_pad("s_suppkey", 6)} || ' on db' || cast(s_suppkey as string) || '.prod.internal, org 9' || {_pad("s_suppkey * 7919 % 100000000", 8)}
+ || ', file C:' || chr(92) || 'data' || chr(92) || 'f' || cast(s_suppkey as string) || '.txt or /etc/app/' || cast(s_suppkey as string) as text from supplier"""
+WARNED = """select c_custkey as doc_id, 'c' || cast(c_custkey % 10 as string) || '@a.no [EMAIL_ADDRESS_' || cast(c_custkey % 30 as string) || '] 10.0.0.1' as text from customer"""
 COMPANIES = """select c_custkey as doc_id, 'Nordvik' || cast(c_custkey % 7 as string) || ' AS met Berg' || cast(c_custkey % 5 as string) || ' Invest ASA, then nordvik' || cast(c_custkey % 7 as string)
  || 'x spoke for Berg' || cast(c_custkey % 5 as string) || ' invest as well' as text from customer"""
 JSON = """select p_partkey as doc_id, '{"name": "' || p_name || '", "size": ' || cast(p_size as string) || ', "brand": {"id": "' || p_brand || '", "tags": ["a@b.no", 7, "' || p_type || '"]}}' as text from part where p_partkey % 2 = 0
@@ -53,8 +59,12 @@ TOKENS = """select c_custkey as doc_id, 'See [PERSON_' || cast(c_custkey % 9 as
 PATHS = """select p_partkey as doc_id, '/data/' || p_name || case p_partkey % 8 when 0 then '.PDF' when 1 then '.docx' when 2 then '.xlsm' when 3 then '.jpeg' when 4 then '.odt' when 5 then '.JSON' when 6 then '.csv' else '.exe' end as path from part"""
 
 PLAIN = frozenset({"EMAIL_ADDRESS", "IP_ADDRESS", "CREDIT_CARD", "CERTIFICATE_THUMBPRINT", "URL", "AZURE_UUID", "AWS_ACCESS_KEY", "NORWEGIAN_BANK_ACCOUNT"})
-NORWEGIAN = frozenset(e for e in ENTITIES if e.startswith("NORWEGIAN_")) - {"NORWEGIAN_COMPANY", "NORWEGIAN_PERSON_NAME"}
+NORWEGIAN = frozenset(e for e in ENTITIES if e.startswith("NORWEGIAN_")) - {"NORWEGIAN_COMPANY", "NORWEGIAN_PERSON_NAME", "NORWEGIAN_ORG_NUMBER"}
 SECRET = frozenset({"AWS_ACCESS_KEY", "AZURE_UUID", "JWT_BEARER_TOKEN", "CERTIFICATE_THUMBPRINT", "M365_TENANT_URL", "PRIVATE_IP", "EMAIL_ADDRESS", "CREDIT_CARD"})
+PROVIDERS = frozenset({
+    "AWS_ARN", "AWS_ACCOUNT_ID", "AZURE_CONNECTION_STRING", "AZURE_CLIENT_SECRET", "AZURE_RESOURCE_ID", "AZURE_TENANT_DOMAIN", "AZURE_RESOURCE_NAME",
+    "GCP_SERVICE_ACCOUNT", "GCP_API_KEY", "GENERIC_SECRET", "INTERNAL_HOSTNAME", "NORWEGIAN_ORG_NUMBER", "FILE_PATH",
+})
 NINTH = frozenset({"HEALTH_DATA", "BIOMETRIC_DATA", "GENETIC_DATA", "POLITICAL_OPINION", "RELIGIOUS_BELIEF", "SEXUAL_ORIENTATION", "RACIAL_ETHNIC_ORIGIN", "TRADE_UNION"})
 CONTACT = frozenset({"EMAIL_ADDRESS", "IP_ADDRESS", "CREDIT_CARD", "CERTIFICATE_THUMBPRINT"})
 TERMS = ("idiot", "Licensed under", "trash")
@@ -91,6 +101,15 @@ FORMS = {
     ("EMAIL_ADDRESS", "address"): r"(?i)[a-z0-9][a-z0-9._%+-]*@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}",
     ("IP_ADDRESS", "version 4"): rf"\b{_OCTET}(?:\.{_OCTET}){{3}}\b",
     ("PRIVATE_IP", "rfc 1918"): rf"\b(?:10(?:\.{_OCTET}){{3}}|172\.(?:1[6-9]|2[0-9]|3[01])(?:\.{_OCTET}){{2}}|192\.168(?:\.{_OCTET}){{2}})\b",
+    ("AZURE_UUID", "quoted value"): r'"([0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})"',
+    ("AWS_ARN", "name"): r"arn:aws:iam::[0-9]+:role/r[0-9]+",
+    ("AZURE_RESOURCE_ID", "path"): r"/subscriptions/[0-9-]+/resourceGroups/g[0-9]+",
+    ("AZURE_CONNECTION_STRING", "pairs"): r"DefaultEndpointsProtocol=https;AccountName=a[0-9]+;AccountKey=[0-9]+==",
+    ("AZURE_CLIENT_SECRET", "marked"): r"abc8Q~[0-9]{32}",
+    ("GENERIC_SECRET", "after its name"): r"password: hunter[0-9]+",
+    ("INTERNAL_HOSTNAME", "suffix"): r"db[0-9]+\.prod\.internal",
+    ("FILE_PATH", "drive"): r"C:\\data\\f[0-9]+\.txt",
+    ("FILE_PATH", "root"): r"/etc/app/[0-9]+",
     ("CREDIT_CARD", "grouped"): r"\b[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,4}\b",
 }
 
@@ -115,6 +134,9 @@ def _check_sql(name: str) -> str:
         r1, r2 = _weighted(d, FIRST_WEIGHTS), _weighted(d, SECOND_WEIGHTS)
         right = [f"({r} <> 1 and cast(substr({d}, {i}, 1) as int) = (11 - {r}) % 11)" for r, i in ((r1, 10), (r2, 11))]
         return f"(length({d}) = 11 and {' and '.join(right)})"
+    if name == "org_number":
+        r = _weighted(d, (3, 2, 7, 6, 5, 4, 3, 2))
+        return f"(length({d}) = 9 and {r} <> 1 and cast(substr({d}, 9, 1) as int) = (11 - {r}) % 11)"
     if name == "luhn":
         digit = f"cast(substr({d}, length({d}) - i, 1) as int)"
         return f"(length({d}) between 13 and 19 and list_sum(list_transform(range(0, length({d})), lambda i: case when i % 2 = 0 then {digit} when {digit} > 4 then 2 * {digit} - 9 else 2 * {digit} end)) % 10 = 0)"
@@ -125,11 +147,14 @@ def spans_sql(source: str, entities: frozenset[str], more: tuple[Detector, ...]
     """doc_id, entity, value, st, en, score, rule of the detectors' spans in source(doc_id, text)."""
     parts = []
     for d in [*DETECTORS, *more]:
-        if d.entity not in entities or (d.entity, d.rule) == ("AZURE_UUID", "quoted value"):
+        if d.entity not in entities:
             continue
+        inner = (d.entity, d.rule) == ("AZURE_UUID", "quoted value")  # its form takes the quotes in, which are cut off again
         p = _quoted(_form(d))
         st = "cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as int)"
         spans = f"select doc_id, m[i] as value, {st} as st, cast({st} + length(m[i]) as int) as en from (select doc_id, m, g, unnest(range(1, len(m) + 1)) as i from (select doc_id, regexp_extract_all(text, {p}) as m, regexp_split_to_array(text, {p}) as g from ({source}) where regexp_matches(text, {p})))"
+        if inner:
+            spans = f"select doc_id, substr(value, 2, length(value) - 2) as value, cast(st + 1 as int) as st, cast(en - 1 as int) as en from ({spans})"
         score = f"cast({d.score} as double)"
         where = ""
         if d.check and d.otherwise is None:
@@ -188,7 +213,11 @@ def q_detect_special(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_detect_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw(composed(spark, sf_dir, CREDENTIALS), _settings(SECRET)).where("rule <> 'quoted value'")
+    return raw(composed(spark, sf_dir, CREDENTIALS), _settings(SECRET))
+
+
+def q_detect_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw(composed(spark, sf_dir, CLOUD), _settings(PROVIDERS))
 
 
 def q_custom_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +245,7 @@ def q_resolve_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_distinct_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir, CREDENTIALS, SECRET).where("rule <> 'quoted value'")
+    rows = _rows(spark, sf_dir, CREDENTIALS, SECRET)
     return _found(overlap.distinct_spans(rows.unionByName(rows))).drop("rule")
 
 
@@ -258,19 +287,19 @@ def q_person_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_trim_to_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line's first 60 characters as if a model had called them a person."""
-    units = documents(spark, sf_dir)
-    spans = units.select("doc_id", "ctx", "ord", F.lit("PERSON").alias("entity"), F.lit(0).alias("st"), F.least(F.length("text"), F.lit(60)).alias("en"), F.lit(0.85).alias("score"))
+    """The whole text of each document, 60 characters of a line at a time, as if a model had called them a person."""
+    pieces = Settings(entities=frozenset({"PERSON"}), extra=(Detector("PERSON", "piece", r"[^\n]{1,60}", 0.85),))
+    spans = raw(documents(spark, sf_dir), pieces).withColumns({"ctx": F.lit(""), "ord": F.lit(0), "redact": F.lit(True)})
     common = spark.createDataFrame([(w,) for w in COMMON], "word string")
-    return _found(suppress.trim_to_names(detect.from_outside(spans, units), _names(spark), common))
+    return _found(suppress.trim_to_names(spans, _names(spark), common))
 
 
 def q_counter_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.counter_seeds(composed(spark, sf_dir, TOKENS))
 
 
-def _tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    units = composed(spark, sf_dir, TOKENS)
+def _tokens(spark: SparkSession, sf_dir: str, sql: str = TOKENS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    units = composed(spark, sf_dir, sql)
     found = detect.detect(units, _settings(frozenset({"EMAIL_ADDRESS", "PRIVATE_IP"})))
     return units, found, redact.assign_tokens(found, units)
 
@@ -296,7 +325,7 @@ def q_redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_layout_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, found, vault = _tokens(spark, sf_dir)
+    _, found, vault = _tokens(spark, sf_dir, WARNED)
     return redact.layout_warnings(found, vault)
 
 
@@ -305,7 +334,8 @@ def _contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_group_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.grouped(_contacts(spark, sf_dir)).drop("places")
+    found = detect.detect(documents(spark, sf_dir), Settings(entities=CONTACT, by_line=True))
+    return report.grouped(found).withColumn("places", F.array_join("places", "|"))
 
 
 def q_sorted_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,9 +379,10 @@ def q_stream_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/documents.parquet*")
     units = stream.select("doc_id", F.lit("").alias("ctx"), F.lit(0).alias("ord"), "text")
     name = "found_" + next(tempfile._get_candidate_names())
-    query = detect_stream(units, _settings(CONTACT)).select(*FOUND).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    found = detect_stream(units, _settings(CONTACT)).select(*FOUND)
+    path = f"{scratch_dir(spark)}/{name}"
+    found.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path).awaitTermination()
+    return spark.read.schema(found.schema).parquet(path)
 
 
 def queries() -> dict[str, Query]:
@@ -377,6 +408,8 @@ def oracle_sql() -> dict[str, str]:
     hits = f"select doc_id, entity, value, cast(st as int) as st, en, score from ({hits})"
     common = ", ".join(map(_quoted, COMMON))
     proper = f"len(list_filter(regexp_extract_all(value, {_quoted(suppress.WORD)}), lambda w: length(w) >= 3 and w[1] <> lower(w[1]) and lower(w) not in ({common}))) > 0"
+    warned = resolved_sql(spans_sql(WARNED, frozenset({"EMAIL_ADDRESS", "PRIVATE_IP"})))
+    warned_tokens = f"select doc_id, value, entity, '[' || entity || '_' || cast(1 + case when entity = 'EMAIL_ADDRESS' then doc_id % 30 else 0 end as string) || ']' as token from ({warned})"
     seeds = f"select doc_id, regexp_extract(t, '\\[(.*)_([0-9]+)\\]', 1) as entity, max(cast(regexp_extract(t, '\\[(.*)_([0-9]+)\\]', 2) as bigint)) as seed from (select doc_id, unnest(regexp_extract_all(text, '\\[[A-Z][A-Z0-9_]*_[0-9]+\\]')) as t from ({TOKENS})) group by all"
     marked = resolved_sql(spans_sql(TOKENS, frozenset({"EMAIL_ADDRESS", "PRIVATE_IP"})))
     tokens = f"""select doc_id, value, entity, '[' || entity || '_' || cast(row_number() over (partition by doc_id, entity order by met, value) + coalesce(seed, 0) as string) || ']' as token
@@ -398,6 +431,7 @@ def oracle_sql() -> dict[str, str]:
         "detect_identifiers": identified,
         "detect_special": spans_sql(SPECIAL, NINTH),
         "detect_credentials": spans_sql(CREDENTIALS, SECRET),
+        "detect_providers": spans_sql(CLOUD, PROVIDERS),
         "custom_terms": spans_sql(docs, frozenset({"CUSTOM_TERM"}), (Detector("CUSTOM_TERM", "term", r"(?i)\b(?:" + "|".join(TERMS) + r")\b", 0.99),)),
         "dangerous_formulas": f"select doc_id, 'DANGEROUS_FORMULA' as entity, text as value, 0 as st, cast(length(text) as int) as en, cast(1.0 as double) as score, 'formula' as rule from ({CELLS}) where text like '=%' and (regexp_matches(upper(text), '^=(IMAGE|WEBSERVICE|FILTERXML|IMPORTDATA)\\(') or regexp_matches(text, '(?i)=.*https?://'))",
         "resolve_overlaps": resolved_sql(identified),
@@ -415,8 +449,8 @@ def oracle_sql() -> dict[str, str]:
         "redact": spliced(TOKENS, f"select m.doc_id, m.st, m.en, t.token from ({marked}) m join ({tokens}) t on m.doc_id = t.doc_id and m.value = t.value"),
         "restore": TOKENS,
         "redact_documents": spliced(docs, f"select m.doc_id, m.st, m.en, t.token from ({contacts}) m join ({numbered}) t on m.doc_id = t.doc_id and m.value = t.value"),
-        "layout_warnings": f"select m.doc_id, '' as ctx, 'Token longer than original in '''' — table layout may shift.' as warning from ({marked}) m join ({tokens}) t on m.doc_id = t.doc_id and m.value = t.value where length(token) - length(m.value) > 10",
-        "group_report": groups,
+        "layout_warnings": f"select m.doc_id, '' as ctx, 'Token longer than original in '''' — table layout may shift.' as warning from ({warned}) m join ({warned_tokens}) t on m.doc_id = t.doc_id and m.value = t.value where length(token) - length(m.value) > 10",
+        "group_report": f"select g.*, p.places from ({groups}) g join (select doc_id, entity, value, array_to_string(list_slice(list_sort(list(distinct 'line ' || cast({lines} as string))), 1, 20), '|') as places from ({contacts}) join documents using (doc_id) group by doc_id, entity, value) p using (doc_id, entity, value)",
         "sorted_report": groups,
         "toggle": f"select *, entity <> 'IP_ADDRESS' as redact from ({contacts})",
         "sample": f"select doc_id, entity, value, st, en, score, rule, truncated from (select *, row_number() over (partition by doc_id, entity order by st, en, value) as i, max(c) over (partition by doc_id) > 1 as truncated from (select *, count(*) over (partition by doc_id, entity) as c from ({resolved_sql(identified)}))) where i = 1",
