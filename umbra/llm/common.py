@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +25,12 @@ _used: dict[str, tuple[SparkSession, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own if the master is local;
+    on a cluster a folder of this machine's would be shared by nobody, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="umbra-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base}/umbra-{spark.sparkContext.applicationId}"
@@ -54,18 +62,60 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of an Arrow batch: texts may be long, and a Python worker holds a batch several times over.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch: texts may be long, and a Python worker holds a batch several times over.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, whose session now sends at most BATCH_ROWS rows at a time to Python workers."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    """df, whose session from now on sends at most BATCH_ROWS rows and about BATCH_BYTES at a time to Python workers."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        held = str(conf.get(key)).lower().removesuffix("b")
+        if not (held.isdigit() and 0 < int(held) <= most):
+            conf.set(key, str(most))
     return df
 
 
+class Kept(dict):
+    """What a module keeps in a Python worker for its next batches, by key: one value at a time."""
+
+    all: list[Kept] = []
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.at = 0.0
+        Kept.all.append(self)
+
+    def value(self, key: object, make: Callable[[], object]) -> object:
+        if key not in self:
+            self.clear()
+            self[key] = make()
+        self.at = time.monotonic()
+        return self[key]
+
+
+#: Seconds without use after which another operator's worker may drop what is kept; the operator that worked here last.
+IDLE = 5.0
+_last: list[str] = [""]
+
+
+def enter(operator: str) -> None:
+    """Called by an operator for each batch in a Python worker. When another one was here before, what nobody used for a while goes, and
+    allocators give back the memory that they hold on to: workers outlive stages, and stages of several operators add up."""
+    if _last[0] == operator:
+        return
+    _last[0] = operator
+    for kept in Kept.all:
+        if kept and time.monotonic() - kept.at > IDLE:
+            kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: its allocator gives memory back as it sees fit
+        pass
+
+
 def crc32_of_id(col: str | Column) -> Column:
     """crc32 of the id as text; null ids count as the text 'null'."""
     return F.crc32(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("null")).cast("string").cast("binary"))

@@ -8,21 +8,19 @@ from pyspark.sql import functions as F
 from umbra.llm.common import materialize
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges(u, v) of longs -> (node, component): the smallest node reachable, for nodes that have an edge to another.
 
     Loops (u = v) and null ends are ignored; repeated edges count once; no edges give no rows.
     Each round is two joins or aggregations on a node with partial minima; a hub's rows meet only in
     a join whose other side has one row a node, which adaptive execution splits. The number of rounds
-    is logarithmic in the longest path. Each round is written to the shared folder.
+    is logarithmic in the longest path, and they go on until nothing changes. Each round is written to the shared folder.
     """
     now = materialize(
         edges.select(F.greatest("u", "v").alias("v"), F.least("u", "v").alias("u")).where("u <> v").distinct()
     )
     mark = _mark(now)
-    for _ in range(max_rounds):
-        if not mark[0]:
-            break
+    while mark[0]:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = now.join(least, "u").select(F.col("v"), F.col("m").alias("u")).where("u <> v").distinct()
@@ -38,8 +36,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         last, mark = mark, _mark(now)
         if mark == last:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("v").alias("node"), F.col("u").alias("component"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import small_batches
+from umbra.llm.common import enter, materialize, small_batches
 
 _WORDS = re.compile(r"\w+")
 _END = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -152,7 +152,7 @@ class Index:
             question = held(text[: len(text) - n])
             answer = len(np.intersect1d(text[len(text) - n :], passage)) / len(np.unique(text[len(text) - n :])) if n else 1.0
             key = items.ids[i]
-            if (question >= OVERLAP or not items.apart) and answer >= ANSWER and (key not in best or score * items.scale[i] > best[key]["score"]):
+            if (question >= OVERLAP or not items.apart) and answer >= ANSWER and (key not in best or score * items.scale[i] > best[key]["score"] * (1 + 1e-9)):  # sums differ in their last digits by order
                 best[key] = {"item_id": key, "at": at, "score": score * items.scale[i], "question_overlap": question, "answer_overlap": answer}
 
 
@@ -200,15 +200,33 @@ def _passages(items: Items, ids: list[np.ndarray]) -> Iterator[tuple[int, int, n
         yield doc, at, ids[doc][at : at + 2 * step]
 
 
-def build_index(rows: list[tuple[int, str, str]], apart: bool = True) -> Index:
-    """rows of (id, question, answer), given apart or split by us; items without a word are left out."""
-    split = [(i, words(q), words(a)) for i, q, a in rows]
-    split = [x for x in split if x[1] or x[2]]
-    seen = Counter(w for _, q, a in split for w in {*q, *a})
-    terms = {w: k for k, w in enumerate(sorted(seen))}
-    n = len(split)
-    idf = np.array([math.log(1 + (n - seen[w] + 0.5) / (seen[w] + 0.5)) for w in terms])
-    mean = sum(len(q) + len(a) for _, q, a in split) / max(1, n)
+@dataclass
+class Statistics:
+    """Of a whole benchmark: its items with a word, the mean of their words, and in how many of them each word occurs (at least
+    the words of the items that are to be indexed)."""
+
+    items: int
+    mean: float
+    seen: dict[str, int]
+
+
+def _with_words(rows: list[tuple[int, str, str]]) -> list[tuple[int, list[str], list[str]]]:
+    found = [(i, words(q), words(a)) for i, q, a in rows]
+    return [x for x in found if x[1] or x[2]]
+
+
+def statistics(rows: list[tuple[int, str, str]]) -> Statistics:
+    split = _with_words(rows)
+    return Statistics(len(split), sum(len(q) + len(a) for _, q, a in split) / max(1, len(split)), Counter(w for _, q, a in split for w in {*q, *a}))
+
+
+def build_index(rows: list[tuple[int, str, str]], apart: bool = True, known: Statistics | None = None) -> Index:
+    """rows of (id, question, answer), given apart or split by us; items without a word are left out. known: of the whole
+    benchmark, if rows are a part of it, so that scores don't depend on how it is cut."""
+    split = _with_words(rows)
+    known = known or statistics(rows)
+    terms = {w: k for k, w in enumerate(sorted({w for _, q, a in split for w in (*q, *a)}))}
+    idf = np.array([math.log(1 + (known.items - known.seen[w] + 0.5) / (known.seen[w] + 0.5)) for w in terms])
     by: dict[int, Items] = {}
     for i, q, a in sorted(split):
         longest = max(32, 1 << (len(q) + len(a) - 1).bit_length())
@@ -217,42 +235,76 @@ def build_index(rows: list[tuple[int, str, str]], apart: bool = True) -> Index:
         items.texts.append(np.array([terms[w] for w in [*q, *a]], np.int32))
         items.answers.append(len(a))
     for items in by.values():
-        items.build(len(terms), idf, mean)
+        items.build(len(terms), idf, known.mean)
     return Index(terms, [by[k] for k in sorted(by)])
 
 
-def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", question_col: str | None = None, answer_col: str | None = None) -> list[Index]:
-    """Indexes of all items, each of a bounded part: the parts are told apart by a hash of the id and read one at a time.
+def indexes(
+    benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", question_col: str | None = None, answer_col: str | None = None, shard_items: int = SHARD_ITEMS, shard_bytes: int = SHARD_BYTES
+) -> Iterator[Index]:
+    """Indexes of all items, each of a bounded part: the parts are told apart by a hash, and one at a time is on the driver.
 
-    Items come as one text, or as question and answer. Items without an id, a text or a word can't be found.
+    Items come as one text, or as question and answer. Items without an id, a text or a word can't be found; equal items count
+    once. Frequencies of words and the mean of items' words are those of the whole benchmark, so that scores are the same however many parts there are.
     """
     empty = F.lit("")
     question = benchmark[question_col] if question_col else benchmark[text_col]
     rows = benchmark.select(benchmark[id_col].cast("long").alias("id"), F.coalesce(question, empty).alias("q"), F.coalesce(benchmark[answer_col], empty).alias("a") if answer_col else empty.alias("a")).where("id is not null and (q <> '' or a <> '')").distinct()
     n, size = rows.agg(F.count("*"), F.sum(F.octet_length("q") + F.octet_length("a"))).first()
-    parts = max(1, -(-n // SHARD_ITEMS), -(-(size or 0) // SHARD_BYTES))
-    found = []
+    parts = max(1, -(-n // shard_items), -(-(size or 0) // shard_bytes))
+
+    def split(found: list) -> list[tuple[int, str, str]]:
+        return [(r["id"], *(split_item(r["q"]) if not answer_col else (r["q"], r["a"]))) for r in found]
+
+    if parts == 1:
+        index = build_index(split(rows.collect()), bool(answer_col))
+        yield from [index] if index.terms else []
+        return
+    rows = materialize(rows.withColumn("part", F.pmod(F.xxhash64("id", "q", "a"), F.lit(parts))))
+
+    def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part, q, a in zip(batch["part"], batch["q"], batch["a"], strict=True):
+                own = [*words(q), *words(a)]
+                yield pd.DataFrame({"part": part, "word": sorted(set(own)), "n": len(own)})
+
+    held = materialize(rows.select("part", "q", "a").mapInPandas(words_of, "part long, word string, n long").groupBy("part", "word").agg(F.count("*").alias("items")))
+    lengths = rows.select("part", "q", "a").mapInPandas(lambda batches: (pd.DataFrame({"n": [len(words(q)) + len(words(a)) for q, a in zip(x["q"], x["a"], strict=True)]}) for x in batches), "n long")
+    items, mean = lengths.where("n > 0").agg(F.count("*"), F.avg("n")).first()
+    seen = materialize(held.groupBy("word").agg(F.sum("items").alias("items")))
     for k in range(parts):
-        part = rows.where(F.pmod(F.xxhash64("id", "q"), F.lit(parts)) == k).collect()
-        found.append(build_index([(r["id"], *(split_item(r["q"]) if not answer_col else (r["q"], r["a"]))) for r in part], bool(answer_col)))
-    return [x for x in found if x.terms]
+        own = held.where(F.col("part") == k).select("word").join(seen, "word").collect()
+        index = build_index(split(rows.where(F.col("part") == k).collect()), bool(answer_col), Statistics(items, mean or 0.0, {r["word"]: r["items"] for r in own}))
+        if index.terms:
+            yield index
 
 
-def leaks_column(found: list[Index], text: Column, docs: DataFrame) -> Column:
-    """Leaked items of each text."""
+def leaks_column(found: Iterable[Index], text: Column, docs: DataFrame) -> Column:
+    """Leaked items of each text. Each index is broadcast as it comes and not kept here; all look at a text in one pass."""
 
     def of(index: Index) -> Column:
         shared = small_batches(docs).sparkSession.sparkContext.broadcast(index)
 
         @F.pandas_udf(LEAK)
         def leaks(texts: pd.Series) -> pd.Series:
+            enter("benchmark")
             return pd.Series(shared.value.leaks(texts.tolist()), dtype=object)
 
         return leaks(text)
 
-    if not found:
+    columns = [of(x) for x in found]
+    if not columns:
         return F.array().cast(LEAK)
-    return F.concat(*[of(x) for x in found])
+    if len(columns) == 1:
+        return columns[0]
+
+    def one_an_item(leaks: Column) -> Column:  # items of one id may stand in several indexes
+        def better(x: Column) -> Column:
+            return F.exists(leaks, lambda y: (y["item_id"] == x["item_id"]) & ((y["score"] > x["score"]) | ((y["score"] == x["score"]) & (y["at"] < x["at"]))))
+
+        return F.array_sort(F.array_distinct(F.filter(leaks, lambda x: ~better(x))))
+
+    return F.transform(F.array(F.concat(*columns)), one_an_item)[0]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
@@ -261,13 +313,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Words are runs of letters, digits and underscores in lower case. An item is held if a passage scores its threshold by BM25,
     and holds at least 0.8 of its five-word shingles and half of its answer's words, and of an item that comes as question and answer 0.8 of the question's shingles;
     the answer of an item that is one text is its last sentence or line (split_item()). at is the passage's first word. Null and empty texts
-    hold nothing; without items there are no rows. Every document is searched where it lies; only the indexes, of
-    bounded size, are broadcast.
+    hold nothing; without items there are no rows. Texts of any length are searched to their end, and rows that repeat an id each
+    for themselves. Every document is searched where it lies; only the indexes, of bounded size, are broadcast.
     """
     named = docs.select(docs[id_col].alias(id_col), F.explode(leaks_column(indexes(benchmark, **columns), docs[text_col], docs)).alias("leak"))
     return named.select(id_col, "leak.*")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **columns: str) -> DataFrame:
-    """docs without those that hold an item; columns as they are."""
+    """docs without those that hold an item; columns as they are. Null and empty texts stay; an empty table or benchmark changes nothing."""
     return docs.where(F.size(leaks_column(indexes(benchmark, **columns), docs[text_col], docs)) == 0)

@@ -15,7 +15,7 @@ from umbra.llm.components import connected_components
 #: A vector's description: its PREFIX nearest pivots, in order. Candidates share SHARED of them.
 PREFIX, SHARED = 8, 2
 #: Pivots are drawn from so many vectors at most, and none is closer to another than APART.
-SAMPLE, PIVOTS, APART = 16_384, 4096, 0.7
+SAMPLE, PIVOTS, APART = 32_768, 8192, 0.7
 #: Vectors of a pivot's list that one task compares with as many others.
 BLOCK = 512
 
@@ -55,9 +55,11 @@ def choose_pivots(classes: DataFrame, n: int, width: int) -> np.ndarray:
 def link_classes(classes: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """classes(cid, label, vector, m) -> (cid, n_links) and (u, v): links counted by multiplicity, and a forest of them.
 
-    A list (label, pivot) that is longer than a block is cut into blocks by a hash, and each pair of blocks is a group of its own,
-    so that no task holds a whole hot list; a group gives at most a row per vector, not its pairs. Two vectors
-    are compared in the list of the first pivot that they share and in no other.
+    Lists hold ids alone until it is known what is compared with what. A list (label, pivot) of up to a block is compared as it is. A
+    longer one becomes lists of two pivots, the second one after the first, so that lists stay short as the table grows; and one
+    that is still longer than a block is cut into blocks by a hash, and each pair of blocks is a group of its own,
+    so that no task holds a whole hot list. A group gives at most a row per vector, not its pairs. Two vectors
+    are compared in the list of the first pivot (or two) that they share and in no other.
     """
     width = classes.agg(F.max(F.size("vector"))).first()[0] or 0
     shared = classes.sparkSession.sparkContext.broadcast(choose_pivots(classes, n, width))
@@ -75,18 +77,27 @@ def link_classes(classes: DataFrame, n: int, threshold: float) -> tuple[DataFram
                 yield rows.assign(nearest=list(near.astype(np.int32)))
 
     described = materialize(classes.mapInPandas(describe, "cid long, label string, vector array<double>, m long, nearest array<int>"))
-    listed = described.select("*", F.explode("nearest").alias("pivot"))
-    sizes = described.select("label", F.explode("nearest").alias("pivot")).groupBy("label", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+
+    def of_length(lists: DataFrame) -> DataFrame:
+        sizes = lists.groupBy("label", "pivot", "second").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1")
+        return lists.join(sizes.drop("size"), ["label", "pivot", "second"])
+
+    by_one = described.select("cid", "label", F.explode("nearest").alias("pivot"), "nearest").withColumn("second", F.lit(-1))
+    by_one = materialize(of_length(by_one))
+    alone = F.size("nearest") < SHARED  # there is no second pivot
+    fields = ("label", "pivot", "second", "cid", "blocks")
+    long = by_one.where((F.col("blocks") > 1) & ~alone)
+    by_two = of_length(long.select("cid", "label", "pivot", F.explode(F.filter("nearest", lambda p: p > F.col("pivot"))).alias("second")))
+    lists = by_one.where((F.col("blocks") == 1) | alone).select(*fields).unionByName(by_two.select(*fields))
     cut = (
-        listed.join(sizes, ["label", "pivot"], "left")
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("b", F.pmod(F.xxhash64(F.lit("block"), "cid"), F.col("blocks")).cast("int"))
+        lists.withColumn("b", F.pmod(F.xxhash64(F.lit("block"), "cid"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("label", "pivot", F.least("b", "other").alias("lo"), F.greatest("b", "other").alias("hi"), "b", "cid", "vector", "m", "nearest")
+        .select("label", "pivot", "second", F.least("b", "other").alias("lo"), F.greatest("b", "other").alias("hi"), "b", "cid")
+        .join(described.drop("label"), "cid")
     )
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, pivot, lo, hi = key
+        _, pivot, second, lo, hi = key
         rows = rows.sort_values("cid", ignore_index=True)
         n = len(rows)
         x, sizes = _units(rows["vector"], width)
@@ -94,7 +105,7 @@ def link_classes(classes: DataFrame, n: int, threshold: float) -> tuple[DataFram
         ids, at = np.unique(held, return_inverse=True)
         member = np.zeros((n, len(ids)), np.float32)
         member[np.repeat(np.arange(n), held.shape[1]), at.ravel()] = 1
-        before = member[:, ids < pivot]
+        before = member[:, ids < pivot] if second < 0 else member[:, (ids < second) & (ids != pivot)]
         b = rows["b"].to_numpy()
         left, right = np.flatnonzero(b == lo), np.flatnonzero(b == hi)
         least = min(SHARED, held.shape[1])
@@ -112,7 +123,7 @@ def link_classes(classes: DataFrame, n: int, threshold: float) -> tuple[DataFram
         out = pd.DataFrame({"cid": cid, "n_links": count, "root": cid[root]})
         return out[count > 0]
 
-    found = materialize(cut.groupBy("label", "pivot", "lo", "hi").applyInPandas(compare, "cid long, n_links long, root long"))
+    found = materialize(cut.groupBy("label", "pivot", "second", "lo", "hi").applyInPandas(compare, "cid long, n_links long, root long"))
     return found.groupBy("cid").agg(F.sum("n_links").alias("n_links")), found.select(F.col("root").alias("u"), F.col("cid").alias("v"))
 
 
@@ -121,7 +132,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Only vectors of equal, non-null labels and equal length are compared. Vectors that are null, empty, zero, or hold
     null or non-finite components, and those without a label, link with nothing and are kept. Equal vectors of a label are one class
-    with a multiplicity, so copies cost one row. Rows that repeat an id are vectors of their own. An empty table gives no rows.
+    with a multiplicity, so copies cost one row. Rows that repeat an id are vectors of their own, and count one another. An empty table gives no rows.
     """
     rows = vectors.select(vectors[id_col].alias("id"), vectors[vector_col].cast("array<double>").alias("vector"), vectors[label_col].cast("string").alias("label"))
     good = usable(F.col("vector")) & F.col("label").isNotNull()

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import local_labels, materialize, small_batches
+from umbra.llm.common import enter, local_labels, materialize, small_batches
 from umbra.llm.components import connected_components
 from umbra.llm.similar import band_keys, shingle_set, similar_links
 
@@ -58,6 +58,7 @@ def fingerprint_column(text: Column, words: int = 4, seed: int = 42) -> Column:
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
+        enter("simhash")
         return pd.Series(np.array([fingerprint(x, words, seed) for x in texts], np.uint64).view(np.int64))
 
     return of(text)
@@ -68,6 +69,7 @@ def signature_column(text: Column, words: int) -> Column:
 
     @F.pandas_udf("fp long, keys array<long>, shingles binary")
     def of(texts: pd.Series) -> pd.DataFrame:
+        enter("simhash")
         fps, keys, sets = [], [], []
         for text in texts:
             parts = list(shingle_hashes(text, words))
@@ -93,7 +95,21 @@ def _masks(lo: int, hi: int, most: int) -> list[np.ndarray]:
     return [np.array([sum(1 << x for x in c) for c in combinations(range(lo, hi), i)], np.uint64) for i in range(most + 1)]
 
 
-def ball_links(fps: DataFrame, radius: int = 4, buffer_rows: int = 60_000) -> DataFrame:
+#: Bits by which a hot key is made longer, and the longest a key gets.
+MORE_BITS, MOST_BITS = 8, 60
+
+
+def _flipped(rows: DataFrame, at: int, bits: int, half: int) -> DataFrame:
+    """rows(key, used, fp, rep) for each flip of the fingerprint's bits at..at+bits-1 that the radius leaves: the key with these bits put in."""
+    flips = [(i, int(x) - (1 << 64 if x >> np.uint64(63) else 0)) for i, own in enumerate(_masks(at, at + bits, half)) for x in own]
+    own = F.lit(((1 << bits) - 1) << at)
+    each = rows.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("n"), F.lit(x).cast("long").alias("x")) for i, x in flips])).alias("flip"))
+    return each.where(F.col("used") + F.col("flip.n") <= half).select(
+        F.col("key").bitwiseOR(F.col("fp").bitwiseAND(own).bitwiseXOR(F.col("flip.x"))).alias("key"), (F.col("used") + F.col("flip.n")).alias("used"), "fp", "rep"
+    )
+
+
+def ball_links(fps: DataFrame, radius: int = 4, most: int = 1 << 21) -> DataFrame:
     """fps(fp long, rep long), one row per fingerprint -> links (u, v) between reps that join all within radius bits.
 
     Every fingerprint emits all variants within half the radius. Variants are shuffled by their low bits:
@@ -101,32 +117,44 @@ def ball_links(fps: DataFrame, radius: int = 4, buffer_rows: int = 60_000) -> Da
     flips that are left for the high bits, are written out where they arrive. Equal variants collide. As both
     ends are within radius / 2 of the variant, a collision is a link; the distance of each link is verified
     all the same. Of the k fingerprints at one variant a chain of k - 1 links leaves the task, not all pairs.
+
+    A key of more than most variants is split before the shuffle by its variants' next MORE_BITS bits, and again while that is too
+    many, so that no task writes out more at once.
     """
     if radius % 2 or radius < 0:
         raise ValueError("radius must be even: it is met in the middle")
     half = radius // 2
-    n = fps.count()
-    b = key_bits(n, half)
-    low = (1 << b) - 1
-    flips = [int(x) for m in _masks(0, b, half) for x in m]
-    high = _masks(b, 64, half)
-    dealt = (
-        fps.select(F.explode(F.array(*[F.lit(x) for x in flips])).alias("flip"), "fp", "rep")
-        .select(F.col("fp").bitwiseAND(F.lit(low)).bitwiseXOR(F.col("flip")).alias("key"), "fp", "rep")
-        .repartition(F.col("key"))
-        .sortWithinPartitions("key")
-    )
-
-    def collide(fp: np.ndarray, key: np.ndarray, rep: np.ndarray) -> pd.DataFrame:
-        flipped = np.bitwise_count((fp & np.uint64(low)) ^ key)
-        centre = (fp & ~np.uint64(low)) | key
+    b = key_bits(fps.count(), half)
+    rows = _flipped(fps.select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("used"), "fp", "rep"), 0, b, half)
+    dealt, levels = None, []
+    while True:
+        levels.append(b)
+        hot = None
+        if b < MOST_BITS:
+            made = F.element_at(F.array(*[F.lit(sum(comb(64 - b, i) for i in range(half - u + 1))) for u in range(half + 1)]), F.col("used") + 1)
+            hot = materialize(rows.groupBy("key").agg(F.sum(made.cast("long")).alias("n")).where(F.col("n") > most).select("key"))
+            if hot.isEmpty():
+                hot = None
+        cool = (rows.join(hot, "key", "left_anti") if hot is not None else rows).select(F.lit(b).alias("bits"), "key", "used", "fp", "rep")
+        dealt = cool if dealt is None else dealt.unionByName(cool)
+        if hot is None:
+            break
+        more = min(MORE_BITS, MOST_BITS - b)
+        rows = _flipped(rows.join(hot, "key", "left_semi"), b, more, half)
+        b += more
+    dealt = dealt.repartition(F.col("bits"), F.col("key")).sortWithinPartitions("bits", "key")
+    highs = {bits: _masks(bits, 64, half) for bits in levels}
+
+    def collide(bits: int, fp: np.ndarray, key: np.ndarray, used: np.ndarray, rep: np.ndarray) -> pd.DataFrame:
+        low = np.uint64((1 << bits) - 1)
+        centre = (fp & ~low) | key
         variants, origins = [], []
         for done in range(half + 1):
-            own = np.flatnonzero(flipped == done)
+            own = np.flatnonzero(used == done)
             if len(own):
-                masks = np.concatenate(high[: half - done + 1])
+                masks = np.concatenate(highs[bits][: half - done + 1])
                 variants.append((centre[own][:, None] ^ masks[None, :]).ravel())
-                origins.append(np.repeat(own, len(masks)))
+                origins.append(np.repeat(own.astype(np.int32), len(masks)))
         v = np.concatenate(variants)
         s = np.sort(v)
         twice = np.unique(s[1:][s[1:] == s[:-1]])
@@ -146,36 +174,30 @@ def ball_links(fps: DataFrame, radius: int = 4, buffer_rows: int = 60_000) -> Da
         return pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Whole keys are looked at together, as many as make about most variants; those of one key are at most so many."""
         held: list[pd.DataFrame] = []
-        rows = 0
+        variants = 0
         for batch in batches:
             held.append(batch)
-            rows += len(batch)
-            if rows >= buffer_rows:
+            for (bits, used), n in batch.groupby(["bits", "used"]).size().items():
+                variants += int(n) * sum(len(m) for m in highs[bits][: half - used + 1])
+            if variants >= 2 * most:
                 whole = pd.concat(held)
-                cut = int(np.searchsorted(whole["key"].to_numpy(), whole["key"].iloc[-1]))  # the last key may go on
+                last = (whole["bits"] == whole["bits"].iloc[-1]) & (whole["key"] == whole["key"].iloc[-1])
+                cut = int(last.to_numpy().argmax())  # the last key may go on
                 if cut:
                     yield from run(whole.iloc[:cut])
-                held, rows = [whole.iloc[cut:]], len(whole) - cut
-        if rows:
+                    held, variants = [whole.iloc[cut:]], 0
+                else:
+                    held = [whole]
+        if held:
             yield from run(pd.concat(held))
 
     def run(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        """Equal keys may be looked at apart only by whole variants, so a large key is cut by the next bits of its variants."""
-        fp = rows["fp"].to_numpy().view(np.uint64)
-        key = rows["key"].to_numpy().view(np.uint64)
-        rep = rows["rep"].to_numpy()
-        if len(fp) <= 4 * buffer_rows:
-            if len(out := collide(fp, key, rep)):
-                yield out
-            return
-        step = min(b + 8, 64)
-        for top in range(1 << (step - b)):
-            # Variants whose next bits are top come from fingerprints that differ from top in at most half of them.
-            own = np.bitwise_count(((fp >> np.uint64(b)) & np.uint64((1 << (step - b)) - 1)) ^ np.uint64(top)) <= half
-            if own.any():
-                if len(out := collide(fp[own], key[own], rep[own])):
-                    yield out
+        for bits, own in rows.groupby("bits"):
+            found = collide(int(bits), own["fp"].to_numpy().view(np.uint64), own["key"].to_numpy().view(np.uint64), own["used"].to_numpy(), own["rep"].to_numpy())
+            if len(found):
+                yield found
 
     return dealt.mapInPandas(links, "u long, v long")
 
@@ -183,17 +205,18 @@ def ball_links(fps: DataFrame, radius: int = 4, buffer_rows: int = 60_000) -> Da
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits) and component_id, the smallest id reachable over links.
 
-    Null, empty and blank texts have fingerprint zero and link like any other. Rows that repeat an id stay rows.
+    Null, empty and blank texts have fingerprint zero and link like any other. Rows that repeat an id stay rows, each in the
+    component of its own text. Texts of any length count whole.
     Null ids count only as members: they never name a component unless all of its ids are null. An empty
     table gives no rows. Only equal fingerprints are met before links are looked for, so copies cost one row.
     """
     docs = small_batches(docs)
     fp = materialize(docs.select(docs[id_col].alias("id"), fingerprint_column(docs[text_col], words).alias("fp")))
     reps = materialize(fp.groupBy("fp").agg(F.min("id").alias("rep")))
-    links = ball_links(reps.where("rep is not null"), radius)
-    part = connected_components(links)
-    named = reps.join(part, reps["rep"] == part["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fp.join(named, "fp").select(
+    part = materialize(connected_components(ball_links(reps.select("fp", F.col("fp").alias("rep")), radius)))
+    named = reps.join(part, reps["fp"] == part["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("c"))
+    least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
+    return fp.join(named.join(least, "c").select("fp", "component_id"), "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

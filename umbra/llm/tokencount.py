@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import small_batches
+from umbra.llm.common import Kept, enter, small_batches
 
 #: Stands for a space, and begins a word.
 SPACE = "▁"
@@ -30,23 +31,31 @@ class Vocabulary:
 def zipf_vocabulary(path: str) -> Vocabulary:
     """The pieces of a sentencepiece model as a unigram vocabulary.
 
-    Its scores are places in an order of merging, not probabilities, so a piece gets the log-probability that Zipf's law gives its place.
+    Its scores are places in an order of merging, not probabilities, so a piece gets the log-probability that Zipf's law gives its place
+    among the pieces of text. Control, byte and unknown pieces, which no text is cut into by choice, score below all of these.
     """
     from sentencepiece import SentencePieceProcessor
 
     sp = SentencePieceProcessor(model_file=path)
     n = sp.get_piece_size()
-    total = math.log(sum(1 / k for k in range(1, n + 1)))
-    return Vocabulary([(sp.id_to_piece(i), -math.log(i + 1) - total) for i in range(n)], sp.unk_id(), all(f"<0x{b:02X}>" in {sp.id_to_piece(i) for i in range(300)} for b in range(256)))
+    special = [sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i) or sp.is_unused(i) for i in range(n)]
+    total = math.log(sum(1 / k for k in range(1, n - sum(special) + 1)))
+    place, pieces = 0, []
+    for i in range(n):
+        place += not special[i]
+        pieces.append((sp.id_to_piece(i), -math.log(n + 1 if special[i] else place) - total))
+    return Vocabulary(pieces, sp.unk_id(), all(f"<0x{b:02X}>" in {sp.id_to_piece(i) for i in range(300)} for b in range(256)))
 
 
 class Counter:
     """Token counts of texts.
 
-    A space begins a word, and so does the text; words are segmented apart, so a word's count is kept (a bounded number of them).
+    A space begins a word, and so does the text; words are segmented apart, so a word's count is kept, while all that is kept takes
+    at most KEPT_BYTES.
     """
 
-    KEPT = 500_000
+    #: WORD_BYTES: what a kept word takes beside its text.
+    KEPT_BYTES, WORD_BYTES = 64 << 20, 150
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.automaton = ahocorasick.Automaton()
@@ -61,6 +70,7 @@ class Counter:
         self.known = set(last)
         self.bytes = vocabulary.byte_fallback and all(f"<0x{b:02X}>" in self.known for b in range(256))
         self.kept: dict[str, int] = {}
+        self.held = 0
 
     def word(self, word: str) -> int:
         """Pieces of the best segmentation of one word.
@@ -114,33 +124,35 @@ class Counter:
         for w in words:
             n = kept.get(w)
             if n is None:
-                if len(kept) >= self.KEPT:
-                    kept.clear()
                 n = self.word(SPACE + w)
                 if len(w) <= 64:
+                    if self.held >= self.KEPT_BYTES:
+                        kept.clear()
+                        self.held = 0
                     kept[w] = n
+                    self.held += self.WORD_BYTES + 4 * len(w)
             total += n
         return total
 
 
-_counters: dict[int, Counter] = {}
+_counters = Kept()
 
 
 def count_column(vocabulary: Vocabulary, text: Column, docs: DataFrame) -> Column:
+    """Tokens of each text. A Python worker keeps one counter, known by a digest of its vocabulary."""
     shared = small_batches(docs).sparkSession.sparkContext.broadcast(vocabulary)
+    digest = hashlib.sha256(repr(vocabulary).encode("utf-8", "replace")).hexdigest()
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
-        key = id(shared.value)
-        if key not in _counters:
-            _counters.clear()
-            _counters[key] = Counter(shared.value)
-        counter = _counters[key]
+        enter("token counts")
+        counter = _counters.value(digest, lambda: Counter(shared.value))
         return pd.Series([counter.text(t) for t in texts], dtype="int64")
 
     return of(text)
 
 
 def count_tokens(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_tokens. Null and empty texts have none; an empty table gives no rows."""
+    """One row per document: id, n_tokens. Null and empty texts have none; an empty table gives no rows. Texts of any length are
+    counted whole, and rows that repeat an id each for themselves."""
     return docs.select(docs[id_col].alias(id_col), count_column(vocabulary, docs[text_col], docs).alias("n_tokens"))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from umbra.llm.common import materialize, small_batches
+from umbra.llm.common import Kept, enter, materialize, small_batches
 
 _MAGIC = b"DAC1"
 _SUPER = 512  # bits that an entry of the rank directory stands for
@@ -123,12 +123,13 @@ class Encoder:
 
     With a byte-level tokenizer that has no normalizer, ids of a text are those of its parts when it is cut
     between a character that is no white space and a space or line feed after it: the pre-tokenizer's pattern
-    never crosses that place and doesn't look behind it. Parts repeat, so the ids of common ones are kept (a bounded number);
-    of others the tokenizer's model encodes each pre-token. Texts that hold an added token's string or
+    never crosses that place and doesn't look behind it. Parts repeat, so the ids of those met first are kept, in at most
+    KEPT_BYTES; of others the tokenizer's model encodes each pre-token. Texts that hold an added token's string or
     white space in a row, and other tokenizers, are encoded whole.
     """
 
-    KEPT, OFTEN = 700_000, 1
+    #: Bytes that kept parts may take, and what one takes beside its text and ids (objects of Python, a place in a table).
+    KEPT_BYTES, PART_BYTES = 64 << 20, 180
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -143,7 +144,7 @@ class Encoder:
         self.space = chr(self.characters[32])
         self.slot: dict[str, int] = {}  # of a part: after a space, unless it begins with a line feed
         self.short: dict[str, list[int]] = {}
-        self.n = self.used = 0
+        self.n = self.used = self.held = 0
         self.start = np.zeros(1 << 12, np.int64)
         self.length = np.zeros(1 << 12, np.int32)
         self.pool = np.zeros(1 << 14, np.uint32)
@@ -185,7 +186,7 @@ class Encoder:
 
     def _ids(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all parts one after another, and each one's number of ids. Parts of a batch repeat, so each distinct one is looked
-        up or encoded once; those that repeat often enough are kept for later batches."""
+        up or encoded once; they are kept for later batches while there is room."""
         coded = parts.dictionary_encode()
         distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         slot = np.fromiter(map(self.slot.get, distinct, repeat(-1)), np.int64, len(distinct))
@@ -196,10 +197,16 @@ class Encoder:
         start[unknown] = self.used + np.cumsum(fresh) - fresh
         length[unknown] = fresh
         pool = np.concatenate((self.pool[: self.used], np.fromiter(chain.from_iterable(found), np.uint32, int(fresh.sum()))))
-        often = np.flatnonzero(np.bincount(index, minlength=len(distinct))[unknown] >= self.OFTEN)[: max(0, self.KEPT - self.n)]
-        if len(often):
-            self.slot.update(zip((distinct[i] for i in unknown[often].tolist()), range(self.n, self.n + len(often)), strict=True))
-            self._put([i for k in often.tolist() for i in found[k]], fresh[often].tolist())
+        if self.held < self.KEPT_BYTES and len(unknown):
+            kept = [distinct[i] for i in unknown.tolist()]
+            taken = np.cumsum(self.PART_BYTES + np.fromiter(map(len, kept), np.int64, len(kept)) + 4 * fresh)
+            n = int(np.searchsorted(taken, self.KEPT_BYTES - self.held, side="right"))
+            if n < len(kept):
+                self.held = self.KEPT_BYTES
+            elif n:
+                self.held += int(taken[-1])
+            self.slot.update(zip(kept[:n], range(self.n, self.n + n), strict=True))
+            self._put(list(chain.from_iterable(found[:n])), fresh[:n].tolist())
         lengths = length[index]
         ends = np.cumsum(lengths)
         return pool[np.repeat(start[index] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths
@@ -231,14 +238,12 @@ class Encoder:
         return np.concatenate(out) if out else np.array([], np.uint32), np.array(sizes, np.int64)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders = Kept()
 
 
 def encoder(path: str) -> Encoder:
     """One a Python worker, so that what it keeps serves all its tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return _encoders.value(path, lambda: Encoder(path))
 
 
 def _groups(batches: Iterator[pd.DataFrame], chars: int) -> Iterator[tuple[list[int | None], list[str]]]:
@@ -258,7 +263,7 @@ def _groups(batches: Iterator[pd.DataFrame], chars: int) -> Iterator[tuple[list[
         yield ids, texts
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, block_ids: int = 1 << 18, chars: int = 1 << 22) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, block_ids: int = 1 << 18, chars: int = 1 << 20) -> None:
     """Write the ids of all texts, each with end_id after it, in ascending order of id to a folder of Parquet files.
 
     A row is a block of whole documents: its part and place in the part, the ids before it in the part, its
@@ -272,11 +277,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     dealt = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "text").select("id", "text")
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(tokenizer)
+        enter("token ids")
         part = TaskContext.get().partitionId()
         seq = start = 0
         for doc_ids, texts in _groups(batches, chars):
-            ids, sizes = enc.encode(texts)
+            ids, sizes = encoder(tokenizer).encode(texts)
             ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
             ends = np.cumsum(sizes)
             at = 0
@@ -302,6 +307,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     placed = blocks.join(before, "part").select((F.col("before") + F.col("start")).alias("start"), "doc_ids", "lengths", "ids")
 
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enter("token ids")
         for batch in batches:
             for first, doc_ids, lengths, code in batch.itertuples(index=False):
                 reader = DacReader(code)
