@@ -7,17 +7,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import materialize, small_batches
+from umbra.llm.common import enter, materialize, small_batches
 
 #: Words are hashed to 2**BITS buckets; the VOCABULARY - TAIL commonest are tokens of their own, the others share TAIL tokens.
 BITS, VOCABULARY, TAIL = 16, 4096, 256
-LEVELS = VOCABULARY.bit_length() - 1
+#: Tokens by frequency are cut into classes of so many.
+SIZE = 64
+CLASSES = VOCABULARY // SIZE
 #: Tokens on either side, width of the hidden layer, tokens per step of the network.
-WINDOW, WIDTH, STEP = 3, 24, 2048
+WINDOW, WIDTH, STEP = 3, 16, 4096
+#: Words that a copy of the network is trained on, and copies at most; beyond that each gets more words.
+SHARD_WORDS, SHARDS = 1 << 21, 8192
 _PIECE = 1 << 18  # bytes of text that are hashed at once
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -68,106 +71,144 @@ def _hash(data: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Network:
-    """token: bucket -> token. Rows of `into` embed the context's tokens (the last row, of zeros, stands beyond the text),
-    `side` weighs each of the 2 * WINDOW places, and `node` and `bias` decide at each inner node of a binary tree whose
-    leaves are the tokens, so that a token's probability is a product of LEVELS decisions."""
+    """token: bucket -> token; within: bucket -> log of its share of its token, from the counts. Rows of `into` embed the context's
+    tokens (the last row, of zeros, stands beyond the text), and `side` weighs each of the 2 * WINDOW places. A word's probability given both
+    sides is that of its token's class (`top`, a softmax over CLASSES), times that of the token in the class (`low`, a softmax over SIZE),
+    times its share of the token."""
 
     token: np.ndarray
+    within: np.ndarray
     into: np.ndarray
     side: np.ndarray
-    node: np.ndarray
-    bias: np.ndarray
+    top: np.ndarray
+    top_bias: np.ndarray
+    low: np.ndarray
+    low_bias: np.ndarray
 
-    FIELDS = ("into", "side", "node", "bias")
+    FIELDS = ("into", "side", "top", "top_bias", "low", "low_bias")
 
     @staticmethod
     def fresh(counts: np.ndarray) -> Network:
-        """A network that knows the counts of buckets alone: its decisions are the tokens' shares. Equal counts go by bucket."""
+        """A network that knows the counts of buckets alone: its probabilities are the tokens' shares. Equal counts go by bucket."""
         order = np.lexsort((np.arange(len(counts)), -counts))
         token = np.empty(len(counts), np.int32)
         own = VOCABULARY - TAIL
         token[order[:own]] = np.arange(own)
         token[order[own:]] = own + np.arange(len(order) - own) % TAIL
-        leaves = np.bincount(token, weights=counts, minlength=VOCABULARY) + 0.5
-        heap = np.zeros(2 * VOCABULARY)
-        heap[VOCABULARY:] = leaves
-        for i in range(VOCABULARY - 1, 0, -1):
-            heap[i] = heap[2 * i] + heap[2 * i + 1]
-        bias = np.zeros(VOCABULARY, np.float32)
-        bias[1:] = np.log(heap[3 : 2 * VOCABULARY : 2] / heap[2 : 2 * VOCABULARY : 2])
-        rng = np.random.default_rng(20)
-        into = rng.normal(0, 0.3, (VOCABULARY + 1, WIDTH)).astype(np.float32)
+        members = np.bincount(token, weights=counts + 0.5, minlength=VOCABULARY)
+        within = np.where(token < own, 0.0, np.log((counts + 0.5) / members[token])).astype(np.float32)
+        leaves = (np.bincount(token, weights=counts, minlength=VOCABULARY) + 0.5).reshape(CLASSES, SIZE)
+        classes = leaves.sum(axis=1)
+        into = np.random.default_rng(20).normal(0, 0.3, (VOCABULARY + 1, WIDTH)).astype(np.float32)
         into[-1] = 0
-        return Network(token, into, np.full((2 * WINDOW, WIDTH), 0.5, np.float32), np.zeros((VOCABULARY, WIDTH), np.float32), bias)
-
-    def _parts(self, padded: np.ndarray, targets: np.ndarray) -> tuple:
-        """For targets (places in a padded row of tokens): contexts, embedded contexts, hidden layer, nodes, decisions, their logits."""
-        places = [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
-        context = padded[targets[:, None] + np.array(places) + WINDOW]
-        embedded = self.into[context]
-        hidden = np.tanh((embedded * self.side).sum(axis=1))
-        leaf = padded[targets + WINDOW].astype(np.int64) + VOCABULARY
-        nodes = leaf[:, None] >> np.arange(1, LEVELS + 1)
-        sign = ((leaf[:, None] >> np.arange(LEVELS)) & 1).astype(np.float32) * 2 - 1
-        rows = self.node[nodes]
-        logit = np.matmul(rows, hidden[:, :, None])[:, :, 0] + self.bias[nodes]
-        return context, embedded, hidden, nodes, rows, sign * logit, sign
+        return Network(
+            token, within, into, np.full((2 * WINDOW, WIDTH), 0.5, np.float32), np.zeros((CLASSES, WIDTH), np.float32), np.log(classes / classes.sum()).astype(np.float32),
+            np.zeros((CLASSES, SIZE, WIDTH), np.float32), np.log(leaves / classes[:, None]).astype(np.float32),
+        )
+
+    def _hidden(self, padded: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For targets (places in a padded row of tokens): contexts, embedded contexts, hidden layer."""
+        places = np.array([*range(-WINDOW, 0), *range(1, WINDOW + 1)]) + WINDOW
+        context = padded.take(targets[:, None] + places)
+        embedded = self.into.take(context, axis=0)
+        return context, embedded, np.tanh(np.einsum("nkw,kw->nw", embedded, self.side))
+
+    @staticmethod
+    def _softmax(logits: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability of each row's own column, and its slope by the row's logits (which are overwritten)."""
+        logits -= logits.max(axis=1, keepdims=True)
+        rows = np.arange(len(own))
+        chosen = logits[rows, own]
+        np.exp(logits, out=logits)
+        total = logits.sum(axis=1)
+        logits /= -total[:, None]
+        logits[rows, own] += 1
+        return chosen - np.log(total), logits
+
+    def _low(self, hidden: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray]:
+        """The targets in order of their classes: that order, the hidden layer, (class, from, to) of each class, the tokens'
+        log-probabilities in their classes, and the slopes of these by the logits."""
+        own = leaf // SIZE
+        order = np.argsort(own.astype(np.uint8), kind="stable")
+        ends = np.cumsum(np.bincount(own, minlength=CLASSES)).tolist()
+        classes = [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if a < b]
+        hidden, leaf = hidden.take(order, axis=0), leaf.take(order)
+        logits = self.low_bias.take(leaf // SIZE, axis=0)
+        for c, a, b in classes:
+            logits[a:b] += hidden[a:b] @ self.low[c].T
+        return order, hidden, classes, *self._softmax(logits, leaf % SIZE)
 
     @staticmethod
     def pad(tokens: np.ndarray) -> np.ndarray:
         edge = np.full(WINDOW, VOCABULARY, np.int32)
         return np.concatenate((edge, tokens, edge))
 
-    def log_likelihood(self, tokens: np.ndarray) -> float:
-        """Sum of every token's log-probability given the tokens on both sides."""
-        padded = self.pad(tokens)
-        total = 0.0
-        for at in range(0, len(tokens), STEP):
-            margin = self._parts(padded, np.arange(at, min(len(tokens), at + STEP)))[5]
-            total -= float(np.logaddexp(0, -margin).sum(dtype=np.float64))
-        return total
+    def log_likelihoods(self, texts: list[np.ndarray]) -> np.ndarray:
+        """For each text (its buckets) the sum of every word's log-probability given the words on both sides; 0 without a word."""
+        out = np.zeros(len(texts))
+        sizes = np.array([len(x) for x in texts], np.int64)
+        if not sizes.sum():
+            return out
+        rows = [self.pad(self.token[x]) for x in texts if len(x)]
+        padded = np.concatenate(rows)
+        some = sizes[sizes > 0]
+        starts = np.cumsum(some) - some
+        targets = np.arange(int(some.sum())) + np.repeat(np.arange(len(some)) * 2 * WINDOW, some)
+        found = self.within[np.concatenate([x for x in texts if len(x)])].astype(np.float64)
+        for at in range(0, len(targets), STEP):
+            own = targets[at : at + STEP]
+            hidden = self._hidden(padded, own)[2]
+            leaf = padded[own + WINDOW]
+            score = self._softmax(hidden @ self.top.T + self.top_bias, leaf // SIZE)[0]
+            order, _, _, low, _ = self._low(hidden, leaf)
+            score[order] += low
+            found[at : at + STEP] += score
+        out[sizes > 0] = np.add.reduceat(found, starts)
+        return out
 
     def train(self, padded: np.ndarray, targets: np.ndarray, squares: dict[str, np.ndarray], rate: float = 0.1) -> None:
         """One step of Adagrad on the mean log-probability of the targets."""
-        context, embedded, hidden, nodes, rows, margin, sign = self._parts(padded, targets)
-        slope = sign / (1 + np.exp(np.minimum(margin, 60)))
-        back = np.matmul(slope[:, None, :], rows)[:, 0, :] * (1 - hidden * hidden)
-        columns = np.arange(WIDTH)
-
-        def gathered(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-            flat = (index.ravel()[:, None] * WIDTH + columns).ravel()
-            return np.bincount(flat, weights=values.ravel(), minlength=n * WIDTH).reshape(n, WIDTH)
-
-        grads = {
-            "node": gathered(nodes, slope[:, :, None] * hidden[:, None, :], VOCABULARY),
-            "bias": np.bincount(nodes.ravel(), weights=slope.ravel(), minlength=VOCABULARY),
-            "side": (back[:, None, :] * embedded).sum(axis=0),
-            "into": gathered(context, back[:, None, :] * self.side, VOCABULARY + 1),
-        }
-        grads["into"][-1] = 0
+        context, embedded, hidden = self._hidden(padded, targets)
+        leaf = padded[targets + WINDOW]
+        slope = self._softmax(hidden @ self.top.T + self.top_bias, leaf // SIZE)[1]
+        grads = {"top": slope.T @ hidden, "top_bias": slope.sum(axis=0), "low": np.zeros_like(self.low), "low_bias": np.zeros_like(self.low_bias)}
+        back = slope @ self.top
+        order, own, classes, _, slope = self._low(hidden, leaf)
+        below = np.empty_like(own)
+        for c, a, b in classes:
+            grads["low"][c] = slope[a:b].T @ own[a:b]
+            below[a:b] = slope[a:b] @ self.low[c]
+        grads["low_bias"][[c for c, _, _ in classes]] = np.add.reduceat(slope, [a for _, a, _ in classes], axis=0)
+        back[order] += below
+        back *= 1 - hidden * hidden
+        grads["side"] = np.einsum("nw,nkw->kw", back, embedded)
+        scale = np.float32(1 / len(targets) ** 0.5)
+        words = context.ravel().astype(np.uint16)
+        by_word = np.argsort(words, kind="stable")
+        first = np.flatnonzero(np.diff(words[by_word], prepend=-1))
+        ids = words[by_word[first]]
+        grad = np.add.reduceat((back[:, None, :] * self.side).reshape(-1, WIDTH).take(by_word, axis=0), first, axis=0) * scale
+        grad[ids == VOCABULARY] = 0
+        squares["into"][ids] += grad * grad
+        self.into[ids] += np.float32(rate) * grad / np.sqrt(squares["into"][ids] + np.float32(1e-6))
         for name, grad in grads.items():
-            grad = (grad / len(targets) ** 0.5).astype(np.float32)
+            grad *= scale
             squares[name] += grad * grad
-            getattr(self, name)[...] += rate * grad / np.sqrt(squares[name] + 1e-6)
+            getattr(self, name)[...] += np.float32(rate) * grad / np.sqrt(squares[name] + np.float32(1e-6))
 
     def copy(self) -> Network:
-        return Network(self.token, *(getattr(self, f).copy() for f in self.FIELDS))
+        return Network(self.token, self.within, *(getattr(self, f).copy() for f in self.FIELDS))
 
 
 def count_buckets(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """How often each bucket occurs in all documents."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enter("language model")
         total = np.zeros(1 << BITS, np.int64)
-        held: list[np.ndarray] = []
         for batch in batches:
-            for text in batch["text"]:
-                held.append(buckets(text))
-                if len(held) >= 4096 or len(held[-1]) > 1 << 18:
-                    total += np.bincount(np.concatenate(held), minlength=1 << BITS)
-                    held = []
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=1 << BITS)
+            held = [buckets(text) for text in batch["text"]]
+            total += np.bincount(np.concatenate(held), minlength=1 << BITS) if held else 0
         own = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": own, "n": total[own]})
 
@@ -177,45 +218,82 @@ def count_buckets(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return counts
 
 
-def fit(docs: DataFrame, text_col: str = "text", rounds: int = 1, slices: int = 16, fan_in: int = 32) -> Network:
-    """Train on all documents: in a round each partition trains a copy of the network on all of its tokens as targets, and the copies
-    are averaged by their numbers of targets, slice by slice, fan_in copies and then groups of copies at a time.
+class _Learner:
+    """A copy of the network that is trained on texts in turn, STEP targets at a time."""
+
+    def __init__(self, net: Network) -> None:
+        self.net = net.copy()
+        self.squares = {f: np.zeros_like(getattr(net, f)) for f in net.FIELDS}
+        self.held: list[np.ndarray] = []
+        self.places: list[np.ndarray] = []
+        self.size = self.wanted = self.seen = 0
+
+    def add(self, tokens: np.ndarray) -> None:
+        padded = self.net.pad(tokens)
+        at = 0
+        while at < len(tokens):
+            n = min(len(tokens) - at, STEP - self.wanted)
+            self.held.append(padded[at : at + n + 2 * WINDOW])
+            self.places.append(np.arange(n) + self.size)
+            self.size += n + 2 * WINDOW
+            self.wanted += n
+            at += n
+            if self.wanted == STEP:
+                self.step()
+
+    def step(self) -> None:
+        if self.wanted:
+            self.net.train(np.concatenate(self.held), np.concatenate(self.places), self.squares)
+        self.seen += self.wanted
+        self.held, self.places, self.size, self.wanted = [], [], 0, 0
+
+
+def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rounds: int = 1, slices: int = 16, fan_in: int = 32, shard_words: int = SHARD_WORDS, shards: int = SHARDS) -> Network:
+    """Train on all words of all documents.
+
+    Texts are dealt by a hash of text and id (if there is such a column, so that copies of a text spread) into one shard for shard_words words (at most `shards` of them), and in a shard they stand in order of
+    another hash, so that the network doesn't depend on how the table is laid out. In a round each shard trains a copy of the
+    network on all of its words as targets, and the copies are averaged by their numbers of targets, slice by slice, fan_in copies and
+    then groups of copies at a time. Null and empty texts teach nothing; repeated rows count as often as they come; an empty table gives
+    a network of equal shares.
     """
     docs = small_batches(docs)
-    net = Network.fresh(count_buckets(docs, text_col))
+    counts = count_buckets(docs, text_col)
+    net = Network.fresh(counts)
+    n = int(min(shards, max(1, -(-counts.sum() // shard_words))))
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enter("language model")
+        for batch in batches:
+            yield pd.DataFrame({"shard": batch["shard"], "o": batch["o"], "words": [buckets(t).astype("<u2").tobytes() for t in batch["text"]]})
+
+    text = docs[text_col]
+    key = [text, *([docs[id_col]] if id_col in docs.columns else [])]
+    dealt = docs.where(text.isNotNull()).select(F.pmod(F.xxhash64(F.lit("shard"), *key), F.lit(n)).cast("int").alias("shard"), F.xxhash64(*key).alias("o"), text.alias("text"))
+    dealt = dealt.mapInPandas(hashed, "shard int, o long, words binary").where(F.length("words") > 0)
+    dealt = dealt.repartition(n, "shard").sortWithinPartitions("shard", "o", "words")
     for _ in range(rounds):
-        shared = small_batches(docs).sparkSession.sparkContext.broadcast(net)
+        shared = docs.sparkSession.sparkContext.broadcast(net)
 
         def learn(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            own = shared.value.copy()
-            squares = {f: np.zeros_like(getattr(own, f)) for f in own.FIELDS}
-            held: list[np.ndarray] = []
-            places: list[np.ndarray] = []
-            size = wanted = seen = 0
-            for batch in batches:
-                for text in batch["text"]:
-                    tokens = own.token[buckets(text)]
-                    if not len(tokens):
-                        continue
-                    at = np.arange(len(tokens))
-                    for k in range(0, len(at), STEP):
-                        some = at[k : k + STEP]
-                        lo, hi = int(some[0]), int(some[-1]) + 1
-                        around = own.pad(tokens)[lo : hi + 2 * WINDOW]
-                        held.append(around)
-                        places.append(some - lo + size)
-                        size += len(around)
-                        wanted += len(some)
-                        if wanted >= STEP:
-                            own.train(np.concatenate(held), np.concatenate(places), squares)
-                            seen, wanted, size, held, places = seen + wanted, 0, 0, [], []
-            if wanted:
-                own.train(np.concatenate(held), np.concatenate(places), squares)
-                seen += wanted
-            if seen:
-                flat = np.concatenate([getattr(own, f).ravel() for f in own.FIELDS])
+            enter("language model")
+            own = shard = None
+
+            def done() -> pd.DataFrame:
+                own.step()
+                flat = np.concatenate([getattr(own.net, f).ravel() for f in Network.FIELDS])
                 pieces = [x.astype("<f4").tobytes() for x in np.array_split(flat, slices)]
-                yield pd.DataFrame({"slice": range(slices), "part": TaskContext.get().partitionId(), "weight": float(seen), "x": pieces})
+                return pd.DataFrame({"slice": range(slices), "part": shard, "weight": float(own.seen), "x": pieces})
+
+            for batch in batches:
+                for k, words in zip(batch["shard"], batch["words"], strict=True):
+                    if k != shard:
+                        if own:
+                            yield done()
+                        own, shard = _Learner(shared.value), k
+                    own.add(shared.value.token[np.frombuffer(words, "<u2")])
+            if own:
+                yield done()
 
         def average(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values("part")
@@ -224,34 +302,39 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = 1, slices: int =
             return pd.DataFrame({"slice": rows["slice"].iloc[:1], "part": rows["part"].iloc[:1], "weight": weight.sum(), "x": [mean.astype("<f4").tobytes()]})
 
         kind = "slice int, part int, weight double, x binary"
-        copies = materialize(docs.select(docs[text_col].alias("text")).mapInPandas(learn, kind))
-        most = copies.agg(F.max("part")).first()[0]
-        while most is not None and most >= fan_in:
+        copies = materialize(dealt.mapInPandas(learn, kind))
+        most = n - 1
+        while most >= fan_in:
             copies = copies.withColumn("group", F.floor(F.col("part") / fan_in).cast("int")).groupBy("slice", "group").applyInPandas(average, kind).withColumn("part", F.floor(F.col("part") / fan_in).cast("int"))
             most //= fan_in
         found = copies.groupBy("slice").applyInPandas(average, kind).orderBy("slice").toPandas()
         if len(found):
+            net = net.copy()
             flat = np.concatenate([np.frombuffer(x, "<f4") for x in found["x"]])
             for f in net.FIELDS:
-                n = getattr(net, f).size
-                setattr(net, f, flat[:n].reshape(getattr(net, f).shape).copy())
-                flat = flat[n:]
+                size = getattr(net, f).size
+                setattr(net, f, flat[:size].reshape(getattr(net, f).shape).copy())
+                flat = flat[size:]
     return net
 
 
 def score_column(net: Network, text: Column, docs: DataFrame) -> Column:
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf("n_tokens long, log_likelihood double")
     def of(texts: pd.Series) -> pd.DataFrame:
-        net = shared.value
-        found = [net.token[buckets(t)] for t in texts]
-        return pd.DataFrame({"n_tokens": [len(x) for x in found], "log_likelihood": [net.log_likelihood(x) if len(x) else 0.0 for x in found]})
+        enter("language model")
+        found = [buckets(t) for t in texts]
+        return pd.DataFrame({"n_tokens": [len(x) for x in found], "log_likelihood": shared.value.log_likelihoods(found)})
 
     return of(text)
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_tokens, log_likelihood (the sum over all tokens) and its mean, null without a token."""
+    """One row per document: id, n_tokens, log_likelihood (the sum over all tokens) and its mean, null without a token.
+
+    Null and empty texts have no token and a sum of 0. Texts of any length are scored whole. Rows that repeat an id stay rows; an empty
+    table gives none. Sums of 32-bit numbers may differ in their last digits by what stands in a batch.
+    """
     scored = docs.select(docs[id_col].alias(id_col), score_column(net, docs[text_col], docs).alias("s")).select(id_col, "s.*")
     return scored.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
