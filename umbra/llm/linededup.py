@@ -9,21 +9,27 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from umbra.llm.common import materialize, small_batches
+from umbra.llm.common import enter, materialize, small_batches
 
-#: A long line is wrapped after each word whose hash is 0 modulo WRAP, so that passages inside a line are found too.
-WRAP = 2
-#: Lines on either side whose rolling hashes a chunk's last line is less than.
+#: A line of more words is wrapped: after a word that ends in punctuation, and where there is none for long, after one whose hash is 0 modulo WRAP.
+LONG, WRAP = 12, 8
+#: A line ends a chunk if the rolling hash over it and the line before is 0 modulo APART.
 APART = 2
-#: Words that a run of adjacent repeated chunks must have to be removed.
-LEAST_WORDS = 8
+#: Words that a repeated passage must have to be removed, and words of a chunk that is looked for; shorter ones are met from beside them.
+LEAST_WORDS, CHUNK_WORDS = 8, 4
+#: Bytes on either side of a chunk that are compared too, once the chunk's own bytes are equal.
+CONTEXT = 192
+#: Bits of the filter that tells most chunks that occur once before their bytes are shuffled: 8 MB, whatever the table's size.
+FILTER_BITS = 1 << 26
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-#: Whether a byte is part of a word.
+#: Whether a byte ends a clause, and whether it is part of a word.
+_STOP = np.zeros(256, bool)
+_STOP[list(b".,;:!?")] = True
 _INSIDE = np.ones(256, bool)
 _INSIDE[[9, 10, 11, 12, 13, 32]] = False
 
@@ -48,12 +54,23 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _last_words(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The last word of each line of a text whose words begin, end and hash so."""
+    feeds = np.flatnonzero(text == 10)
+    last = np.append(np.searchsorted(feeds, starts[1:]) > np.searchsorted(feeds, ends[:-1]), True)
+    for ends_line in (_STOP[text[ends - 1]], word % np.uint64(WRAP) == 0):
+        of = np.cumsum(last) - last
+        last |= ends_line & (np.bincount(of) > LONG)[of]
+    return np.flatnonzero(last)
+
+
 def chunks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of a text's chunks, and their 64-bit hashes; a text of fewer than LEAST_WORDS words has none.
+    """Starts and ends (bytes) of a text's chunks of CHUNK_WORDS words or more, and their 64-bit hashes; a text of fewer than LEAST_WORDS
+    words has none.
 
-    Lines end at line feeds, and in a line after words that hash to 0. A rolling hash covers each line and the one
-    before; a line whose rolling hash is less than those of APART lines on either side ends a chunk. Whether it does depends
-    on these few lines alone, so a passage that is shifted, or stands among other lines, is cut in the same places. White space around a chunk is not part of it.
+    Lines end at line feeds; a line of more than LONG words (a paragraph) is wrapped where its clauses end. A rolling hash covers each line and
+    the one before, and where it is 0 modulo APART the line ends a chunk. Whether it does depends on these two lines alone, so a
+    passage that is shifted, or stands among other lines, is cut in the same places. White space around a chunk is not part of it.
     """
     none = np.zeros(0, np.int64)
     text = np.frombuffer(data, np.uint8)
@@ -65,66 +82,136 @@ def chunks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sums = np.zeros(len(text) + 1, np.uint64)
     np.cumsum(powers[: len(text)] * text, out=sums[1:])
     word = _mixed((sums[ends] - sums[starts]) * inverses[starts])
-    feeds = np.flatnonzero(text == 10)
-    broken = np.append(np.searchsorted(feeds, starts[1:]) > np.searchsorted(feeds, ends[:-1]), True)
-    last = np.flatnonzero(broken | (word % np.uint64(WRAP) == 0))  # the last word of each line
+    last = _last_words(text, starts, ends, word)
     first = np.append(0, last[:-1] + 1)
     line = _mixed((sums[ends[last]] - sums[starts[first]]) * inverses[starts[first]])
     rolling = _mixed(line + np.append(np.uint64(0), line[:-1]) * np.uint64(_MULTIPLIER))
-    cut = np.ones(len(line), bool)
-    for k in range(1, min(APART, len(line) - 1) + 1):
-        cut[k:] &= rolling[k:] < rolling[:-k]
-        cut[:-k] &= rolling[:-k] < rolling[k:]
+    cut = rolling % np.uint64(APART) == 0
     cut[-1] = True
     to = np.flatnonzero(cut)
     of = np.append(0, to[:-1] + 1)
-    a, b = starts[first[of]], ends[last[to]]
+    long = last[to] - first[of] + 1 >= CHUNK_WORDS
+    a, b = starts[first[of[long]]], ends[last[to[long]]]
     return a, b, _mixed((sums[b] - sums[a]) * inverses[a] + (b - a).astype(np.uint64))
 
 
-def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """A row per chunk of all texts: its hash alone, and with document, place, number in the text, words and text."""
-    docs = small_batches(docs)
-    rows = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("h"), docs[text_col].alias("text")).where("text is not null")
+def _places(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The filter's two bits for each hash."""
+    return (fp & np.uint64(FILTER_BITS - 1)).astype(np.int64), ((fp >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _filter(twice: DataFrame, slices: int = 64) -> np.ndarray:
+    """A filter of FILTER_BITS that holds all of twice(fp). Tasks make one each, which are joined slice by slice; one comes to the driver."""
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            for at in _places(batch["fp"].to_numpy().view(np.uint64)):
+                held[at] = True
+        for k, part in enumerate(np.array_split(np.packbits(held), slices)):
+            if part.any():
+                yield pd.DataFrame({"slice": [k], "bits": [part.tobytes()]})
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        joined = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in rows["bits"]])
+        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "bits": [joined.tobytes()]})
+
+    out = np.array_split(np.zeros(FILTER_BITS // 8, np.uint8), slices)
+    for r in twice.mapInPandas(fill, "slice int, bits binary").groupBy("slice").applyInPandas(join, "slice int, bits binary").collect():
+        out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    return np.concatenate(out)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return small_batches(docs).select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("h"), docs[text_col].alias("text")).where("text is not null")
+
+
+def _hashes(rows: DataFrame) -> DataFrame:
+    """The hash of every chunk of all texts."""
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enter("line dedup")
         for batch in batches:
             found = [chunks(t.encode("utf-8", "replace"))[2] for t in batch["text"]]
             yield pd.DataFrame({"fp": np.concatenate(found).view(np.int64)})
 
+    return rows.select("text").mapInPandas(hashes, "fp long")
+
+
+def _occurrences(rows: DataFrame, held: np.ndarray) -> DataFrame:
+    """A row per chunk whose hash the filter holds: document, place, hash, bytes, and the bytes before and after it."""
+    shared = rows.sparkSession.sparkContext.broadcast(held)
+
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enter("line dedup")
+        bits = shared.value
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                some = batch.iloc[at : at + 500]
-                cols: list[list] = [[], [], [], [], [], [], [], []]
-                for i, (h, t) in enumerate(zip(some["h"], some["text"], strict=True)):
-                    data = t.encode("utf-8", "replace")
-                    a, b, fp = chunks(data)
-                    own = [data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                    for c, x in zip(cols, ([i] * len(a), [h] * len(a), a.tolist(), b.tolist(), fp.view(np.int64).tolist(), own, range(len(a)), [len(x.split()) for x in own]), strict=True):
-                        c += x
-                yield pd.DataFrame({"id": some["id"].astype("Int64").to_numpy()[cols[0]] if some["id"].isna().any() else some["id"].to_numpy()[cols[0]], "h": cols[1], "start": cols[2], "end": cols[3], "fp": cols[4], "chunk": cols[5], "k": cols[6], "words": cols[7]})
+            cols: list[list] = [[], [], [], [], [], [], []]
+            for i, t in enumerate(batch["text"]):
+                data = t.encode("utf-8", "replace")
+                a, b, fp = chunks(data)
+                one, two = _places(fp)
+                known = (bits[one >> 3] >> (7 - (one & 7)) & 1 & (bits[two >> 3] >> (7 - (two & 7)))).astype(bool)
+                a, b = a[known].tolist(), b[known].tolist()
+                cut = ([i] * len(a), a, b, fp[known].view(np.int64).tolist(), [data[x:y] for x, y in zip(a, b, strict=True)], [data[max(0, x - CONTEXT) : x] for x in a], [data[y : y + CONTEXT] for y in b])
+                for c, x in zip(cols, cut, strict=True):
+                    c += x
+            of = np.array(cols[0], np.int64)
+            yield pd.DataFrame({"id": batch["id"].astype("Int64").array[of], "h": batch["h"].to_numpy()[of], "start": cols[1], "end": cols[2], "fp": cols[3], "chunk": cols[4], "before": cols[5], "after": cols[6]})
 
-    return rows.select("text").mapInPandas(hashes, "fp long"), rows.mapInPandas(whole, "id long, h long, start long, end long, fp long, chunk binary, k long, words long")
+    return rows.mapInPandas(whole, "id long, h long, start long, end long, fp long, chunk binary, before binary, after binary")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per chunk that repeats an earlier one: id, h (xxhash64 of the text), start, end (bytes of the UTF-8 text), first_id.
+_GAP = b" \t\n\v\f\r"
+
+
+def _equal_after(x: bytes, y: bytes) -> int:
+    """Bytes that both begin with, up to the end of a word of both."""
+    n = min(len(x), len(y))
+    if x[:n] != y[:n]:
+        low, high = 0, n
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if x[:mid] == y[:mid] else (low, mid)
+        n = low
+    while n and not ((n == len(x) or x[n] in _GAP) and (n == len(y) or y[n] in _GAP)):
+        n -= 1
+    return len(x[:n].rstrip(_GAP))
 
-    The occurrence of the smallest id, then h, then place is the first, and stays. Hashes only find candidates: a chunk goes only
-    if its bytes equal the first's, and the run of adjacent chunks that repeat has LEAST_WORDS words. Rows that repeat id and text are one document. Hashes are counted before any text
-    is shuffled, and texts meet by hash in joins alone, which split a hot chunk.
+
+def _equal_before(x: bytes, y: bytes) -> int:
+    return _equal_after(x[::-1], y[::-1])
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per passage that repeats an earlier one: id, h (xxhash64 of the text), start, end (bytes of the UTF-8 text), first_id.
+
+    The occurrence of a chunk with the smallest id, then h, then place is the first, and stays; null ids come first. Hashes only find candidates:
+    occurrences are grouped by their bytes. A repeat reaches as many words beyond its chunk as the first's surroundings hold too, up to
+    CONTEXT bytes on either side, and is removed if it has LEAST_WORDS words; of overlapping repeats the later one is cut. What goes
+    always stands at an earlier place too. Rows that repeat id and text are one document. Hashes are counted before any text
+    is shuffled, and bytes of chunks that occur once are hardly shuffled (a filter of bounded size tells them); texts meet by hash in
+    aggregates with partial minima and joins, which split a hot chunk.
     """
-    hashes, occurrences = _occurrences(docs, id_col, text_col)
-    twice = materialize(hashes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
-    found = materialize(occurrences.join(twice, "fp").distinct() if _repeated_rows(docs, id_col) else occurrences.join(twice, "fp"))
-    first = found.groupBy("fp").agg(F.min(F.struct("id", "h", "start")).alias("first"))
-    first = first.join(found.select("fp", "chunk", F.struct("id", "h", "start").alias("place")), "fp").where(F.col("first").eqNullSafe(F.col("place"))).select("fp", "first", F.col("chunk").alias("bytes"))
-    same = found.join(first.dropDuplicates(["fp"]), "fp").where(F.col("chunk") == F.col("bytes"))
-    again = same.where(~F.struct("id", "h", "start").eqNullSafe(F.col("first"))).select("id", "h", "start", "end", "k", "words", F.col("first.id").alias("first_id"))
-    text = Window.partitionBy("id", "h")
-    runs = again.withColumn("run", F.col("k") - F.row_number().over(text.orderBy("k")))
-    return runs.withColumn("n", F.sum("words").over(Window.partitionBy("id", "h", "run"))).where(F.col("n") >= LEAST_WORDS).select("id", "h", "start", "end", "first_id")
+    rows = _rows(docs, id_col, text_col)
+    twice = materialize(_hashes(rows).groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
+    occurrences = _occurrences(rows, _filter(twice)).join(twice, "fp")
+    found = materialize(occurrences.distinct() if _repeated_rows(docs, id_col) else occurrences)
+    place = F.struct("id", "h", "start")
+    first = found.groupBy("fp", "chunk").agg(F.min(place).alias("first"), F.min_by(F.struct("before", "after"), place).alias("around"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = found.join(first, ["fp", "chunk"]).where(~place.eqNullSafe(F.col("first")))
+
+    @F.pandas_udf("left int, right int, words int")
+    def reach(chunk: pd.Series, before: pd.Series, after: pd.Series, first_before: pd.Series, first_after: pd.Series) -> pd.DataFrame:
+        left = [_equal_before(x, y) for x, y in zip(before, first_before, strict=True)]
+        right = [_equal_after(x, y) for x, y in zip(after, first_after, strict=True)]
+        words = [len(c.split()) + len(x[len(x) - i :].split()) + len(y[:j].split()) for c, x, y, i, j in zip(chunk, before, after, left, right, strict=True)]
+        return pd.DataFrame({"left": left, "right": right, "words": words})
+
+    reached = again.select("id", "h", "start", "end", F.col("first.id").alias("first_id"), reach("chunk", "before", "after", "around.before", "around.after").alias("r")).where(F.col("r.words") >= LEAST_WORDS)
+    spans = reached.select("id", "h", (F.col("start") - F.col("r.left")).alias("start"), (F.col("end") + F.col("r.right")).alias("end"), "first_id")
+    done = F.max("end").over(Window.partitionBy("id", "h").orderBy("start", F.col("end").desc(), "first_id").rowsBetween(Window.unboundedPreceding, -1))
+    return spans.withColumn("start", F.greatest("start", done)).where("start < end").select("id", "h", "start", "end", "first_id")
 
 
 def _repeated_rows(docs: DataFrame, id_col: str) -> bool:
@@ -132,7 +219,10 @@ def _repeated_rows(docs: DataFrame, id_col: str) -> bool:
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_removed, removed_bytes, removed (start, end, first_id in order). Null and empty texts lose nothing."""
+    """One row per document: id, n_removed, removed_bytes, removed (start, end, first_id in order). Null and empty texts lose nothing.
+
+    Texts of any length are cut into chunks whole; rows that repeat an id and a text lose the same; an empty table gives no rows.
+    """
     gone = repeats(docs, id_col, text_col)
     by = gone.groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end", "first_id"))).alias("removed"))
     keys = docs.select(docs[id_col].alias(id_col), F.xxhash64(docs[text_col]).alias("_h"))
@@ -142,7 +232,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with repeated chunks taken out of their texts, columns and rows as they are; lines left empty go with the chunk."""
+    """docs with repeated passages taken out of their texts, columns and rows as they are; lines left empty go with the passage. Null
+    texts stay null."""
     gone = repeats(docs, id_col, text_col)
     by = gone.groupBy(F.col("id").alias("_id"), F.col("h").alias("_gone_h")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_gone"))
     joined = docs.withColumn("_h", F.xxhash64(docs[text_col]))
