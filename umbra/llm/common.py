@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import os
 import tempfile
+import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -76,8 +78,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Seconds without use after which a worker drops what is kept.
+IDLE = 5.0
+_lock = threading.Lock()
+_seen = {"operator": "", "at": 0.0, "watched": 0, "trimmed": True}
+
+
 class Kept(dict):
-    """What a module keeps in a Python worker for its next batches, by key: one value at a time."""
+    """What a module keeps in a Python worker for its next batches, by key: one value at a time, until it is idle."""
 
     all: list[Kept] = []
 
@@ -87,27 +95,21 @@ class Kept(dict):
         Kept.all.append(self)
 
     def value(self, key: object, make: Callable[[], object]) -> object:
-        if key not in self:
-            self.clear()
-            self[key] = make()
-        self.at = time.monotonic()
-        return self[key]
-
-
-#: Seconds without use after which another operator's worker may drop what is kept; the operator that worked here last.
-IDLE = 5.0
-_last: list[str] = [""]
-
-
-def enter(operator: str) -> None:
-    """Called by an operator for each batch in a Python worker. When another one was here before, what nobody used for a while goes, and
-    allocators give back the memory that they hold on to: workers outlive stages, and stages of several operators add up."""
-    if _last[0] == operator:
-        return
-    _last[0] = operator
-    for kept in Kept.all:
-        if kept and time.monotonic() - kept.at > IDLE:
-            kept.clear()
+        with _lock:
+            found = self.get(key)
+            if found is None:
+                self.clear()
+                found = self[key] = make()
+            self.at = time.monotonic()
+            return found
+
+
+def _drop_idle() -> None:
+    """What nobody used for a while goes, and allocators give back the memory that they hold on to."""
+    with _lock:
+        for kept in Kept.all:
+            if kept and time.monotonic() - kept.at > IDLE:
+                kept.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -116,6 +118,27 @@ def enter(operator: str) -> None:
         pass
 
 
+def _watch() -> None:
+    """Workers outlive stages, and one that has no task gets no batch that would tell it so."""
+    while True:
+        time.sleep(IDLE)
+        if not _seen["trimmed"] and time.monotonic() - _seen["at"] > IDLE:
+            _seen["trimmed"] = True
+            _drop_idle()
+
+
+def enter(operator: str) -> None:
+    """Called by an operator for each batch in a Python worker. What stages of several operators keep would add up there: it goes
+    when another operator comes, and when none comes for a while."""
+    before, _seen["operator"] = _seen["operator"], operator
+    _seen["at"], _seen["trimmed"] = time.monotonic(), False
+    if _seen["watched"] != os.getpid():
+        _seen["watched"] = os.getpid()
+        threading.Thread(target=_watch, daemon=True).start()
+    if before != operator:
+        _drop_idle()
+
+
 def crc32_of_id(col: str | Column) -> Column:
     """crc32 of the id as text; null ids count as the text 'null'."""
     return F.crc32(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("null")).cast("string").cast("binary"))

@@ -174,22 +174,23 @@ def ball_links(fps: DataFrame, radius: int = 4, most: int = 1 << 21) -> DataFram
         return pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Whole keys are looked at together, as many as make about most variants; those of one key are at most so many."""
+        """Whole keys are looked at together, as many as make a quarter of most variants; those of one key are at most so many."""
         held: list[pd.DataFrame] = []
         variants = 0
         for batch in batches:
+            enter("simhash")
+            if not len(batch):
+                continue
+            bits, key = batch["bits"].to_numpy(), batch["key"].to_numpy()
+            cut = int(((bits == bits[-1]) & (key == key[-1])).argmax())  # the last key may go on
+            goes_on = held and cut == 0 and (held[-1]["bits"].iloc[-1], held[-1]["key"].iloc[-1]) == (bits[0], key[0])
+            if variants >= most // 4 and not goes_on:
+                yield from run(pd.concat([*held, batch.iloc[:cut]]))
+                held, variants = [], 0
+                batch = batch.iloc[cut:].copy()
             held.append(batch)
-            for (bits, used), n in batch.groupby(["bits", "used"]).size().items():
-                variants += int(n) * sum(len(m) for m in highs[bits][: half - used + 1])
-            if variants >= 2 * most:
-                whole = pd.concat(held)
-                last = (whole["bits"] == whole["bits"].iloc[-1]) & (whole["key"] == whole["key"].iloc[-1])
-                cut = int(last.to_numpy().argmax())  # the last key may go on
-                if cut:
-                    yield from run(whole.iloc[:cut])
-                    held, variants = [whole.iloc[cut:]], 0
-                else:
-                    held = [whole]
+            for (own, used), n in batch.groupby(["bits", "used"]).size().items():
+                variants += int(n) * sum(len(m) for m in highs[own][: half - used + 1])
         if held:
             yield from run(pd.concat(held))
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import local_labels, materialize
+from umbra.llm.common import enter, local_labels, materialize
 from umbra.llm.components import connected_components
 
 #: Bands and minima of a band: a pair of similarity s shares a key with probability 1 - (1 - s ** ROWS) ** BANDS, 0.9995 at 0.8.
@@ -42,6 +42,7 @@ def shingle_set(hashes: np.ndarray) -> bytes:
 def _at_least(similarity: float) -> object:
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        enter("simhash")
         out = []
         for x, y in zip(a, b, strict=True):
             x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
@@ -98,6 +99,7 @@ def similar_links(frame: DataFrame, known: DataFrame, similarity: float) -> Data
     )
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        enter("simhash")
         c = rows["c"].to_numpy()
         s = rows["s"].to_numpy()
         if (c == c[0]).all():

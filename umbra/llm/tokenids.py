@@ -263,7 +263,7 @@ def _groups(batches: Iterator[pd.DataFrame], chars: int) -> Iterator[tuple[list[
         yield ids, texts
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, block_ids: int = 1 << 18, chars: int = 1 << 20) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, block_ids: int = 1 << 18, chars: int = 1 << 19) -> None:
     """Write the ids of all texts, each with end_id after it, in ascending order of id to a folder of Parquet files.
 
     A row is a block of whole documents: its part and place in the part, the ids before it in the part, its
