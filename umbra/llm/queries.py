@@ -71,5 +71,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: All pairs of a label by cosine, and what each vector reaches over them.
+_LINKS = """
+WITH RECURSIVE vectors AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+usable AS (
+  SELECT vec_id FROM (SELECT vec_id, unnest(e) AS x FROM vectors WHERE label IS NOT NULL) AS parts
+  GROUP BY vec_id HAVING count(*) = count(x) AND bool_and(isfinite(x)) AND bool_or(x <> 0)
+),
+good AS (SELECT v.* FROM vectors v JOIN usable u ON v.vec_id = u.vec_id),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+),
+reached AS (SELECT vec_id AS node, vec_id AS other FROM vectors UNION SELECT r.node, l.v FROM reached r JOIN links l ON r.other = l.u),
+components AS (SELECT node, min(other) AS component_id FROM reached GROUP BY node),
+counts AS (SELECT u, count(*) AS n_links FROM links GROUP BY u)
+SELECT c.node AS vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.node = c.component_id AS kept
+FROM components c LEFT JOIN counts n ON c.node = n.u
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_embedding_near_dedup": _LINKS}
