@@ -131,10 +131,11 @@ class Encoder:
     #: Bytes that kept parts may take, and what one takes beside its text and ids (objects of Python, a place in a table).
     KEPT_BYTES, PART_BYTES = 64 << 20, 180
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept_bytes: int | None = None) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        self.kept_bytes = self.KEPT_BYTES if kept_bytes is None else kept_bytes
         self.tok = Tokenizer.from_file(path)
         pre = self.tok.pre_tokenizer
         self.by_part = self.tok.normalizer is None and isinstance(pre, ByteLevel) and not pre.add_prefix_space and pre.use_regex
@@ -197,12 +198,12 @@ class Encoder:
         start[unknown] = self.used + np.cumsum(fresh) - fresh
         length[unknown] = fresh
         pool = np.concatenate((self.pool[: self.used], np.fromiter(chain.from_iterable(found), np.uint32, int(fresh.sum()))))
-        if self.held < self.KEPT_BYTES and len(unknown):
+        if self.held < self.kept_bytes and len(unknown):
             kept = [distinct[i] for i in unknown.tolist()]
             taken = np.cumsum(self.PART_BYTES + np.fromiter(map(len, kept), np.int64, len(kept)) + 4 * fresh)
-            n = int(np.searchsorted(taken, self.KEPT_BYTES - self.held, side="right"))
+            n = int(np.searchsorted(taken, self.kept_bytes - self.held, side="right"))
             if n < len(kept):
-                self.held = self.KEPT_BYTES
+                self.held = self.kept_bytes
             elif n:
                 self.held += int(taken[-1])
             self.slot.update(zip(kept[:n], range(self.n, self.n + n), strict=True))
@@ -241,9 +242,9 @@ class Encoder:
 _encoders = Kept()
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept_bytes: int | None = None) -> Encoder:
     """One a Python worker, so that what it keeps serves all its tasks."""
-    return _encoders.value(path, lambda: Encoder(path))
+    return _encoders.value((path, kept_bytes), lambda: Encoder(path, kept_bytes))
 
 
 def _groups(batches: Iterator[pd.DataFrame], chars: int) -> Iterator[tuple[list[int | None], list[str]]]:
@@ -263,14 +264,14 @@ def _groups(batches: Iterator[pd.DataFrame], chars: int) -> Iterator[tuple[list[
         yield ids, texts
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, block_ids: int = 1 << 18, chars: int = 1 << 19) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, block_ids: int = 1 << 18, chars: int = 1 << 19, kept_bytes: int | None = None) -> None:
     """Write the ids of all texts, each with end_id after it, in ascending order of id to a folder of Parquet files.
 
     A row is a block of whole documents: its part and place in the part, the ids before it in the part, its
     documents' ids and lengths, and one directly addressable code. Null ids come first; rows that repeat an id are ordered
     by a hash of the text, then the text. Null texts count as empty. An empty table writes no blocks.
     The ids are dealt by ranges, sampled from the ids alone, so that no task holds more than its share. Texts are encoded about chars
-    characters at a time, and a block has about block_ids ids, or one longer document.
+    characters at a time, a worker keeps ids of parts in at most kept_bytes (None: KEPT_BYTES), and a block has about block_ids ids, or one longer document.
     """
     docs = small_batches(docs)
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
@@ -281,7 +282,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         part = TaskContext.get().partitionId()
         seq = start = 0
         for doc_ids, texts in _groups(batches, chars):
-            ids, sizes = encoder(tokenizer).encode(texts)
+            ids, sizes = encoder(tokenizer, kept_bytes).encode(texts)
             ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
             ends = np.cumsum(sizes)
             at = 0
