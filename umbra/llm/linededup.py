@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ LEAST_WORDS, CHUNK_WORDS = 8, 4
 CONTEXT = 192
 #: Bits of the filter that tells most chunks that occur once before their bytes are shuffled: 8 MB, whatever the table's size.
 FILTER_BITS = 1 << 26
+#: Bytes of texts that are cut at a time, a longer text by itself: one pass over many short texts costs far less than a pass for each.
+TOGETHER = 1 << 18
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -54,45 +57,89 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _last_words(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The last word of each line of a text whose words begin, end and hash so."""
-    feeds = np.flatnonzero(text == 10)
-    last = np.append(np.searchsorted(feeds, starts[1:]) > np.searchsorted(feeds, ends[:-1]), True)
+def _last_words(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, word: np.ndarray, final: np.ndarray | None = None) -> np.ndarray:
+    """The last word of each line of texts whose words begin, end and hash so; a text ends at each of the words in final, and at the last."""
+    last = np.zeros(len(starts), bool)
+    before = np.searchsorted(starts, np.flatnonzero(text == 10))
+    last[before[before > 0] - 1] = True
+    last[-1] = True
+    if final is not None:
+        last[final] = True
     for ends_line in (_STOP[text[ends - 1]], word % np.uint64(WRAP) == 0):
-        of = np.cumsum(last) - last
-        last |= ends_line & (np.bincount(of) > LONG)[of]
+        words = np.diff(np.flatnonzero(last), prepend=-1)
+        last |= ends_line & np.repeat(words > LONG, words)
     return np.flatnonzero(last)
 
 
-def chunks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of a text's chunks of CHUNK_WORDS words or more, and their 64-bit hashes; a text of fewer than LEAST_WORDS
-    words has none.
-
-    Lines end at line feeds; a line of more than LONG words (a paragraph) is wrapped where its clauses end. A rolling hash covers each line and
-    the one before, and where it is 0 modulo APART the line ends a chunk. Whether it does depends on these two lines alone, so a
-    passage that is shifted, or stands among other lines, is cut in the same places. White space around a chunk is not part of it.
-    """
+def _cut(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What chunks() says of several texts that stand one after another, each from one of bounds to the next: starts and ends (bytes from
+    the first text's start), hashes, and the chunk's text and number of words. No text's chunks depend on the others."""
     none = np.zeros(0, np.int64)
-    text = np.frombuffer(data, np.uint8)
-    edges = np.flatnonzero(np.diff(_INSIDE[text], prepend=False, append=False))
-    starts, ends = edges[::2], edges[1::2]
-    if len(starts) < LEAST_WORDS:
-        return none, none, none.astype(np.uint64)
+    inside = _INSIDE[text]
+    heads = bounds[:-1][bounds[:-1] < len(text)]
+    begin, finish = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1]
+    begin[heads] = inside[heads]
+    finish[:-1] &= ~inside[1:]
+    tails = heads[heads > 0] - 1
+    finish[tails] = inside[tails]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(finish) + 1
+    if not len(starts):
+        return none, none, none.astype(np.uint64), none, none
     powers, inverses = _powers(len(text) + 1)
     sums = np.zeros(len(text) + 1, np.uint64)
     np.cumsum(powers[: len(text)] * text, out=sums[1:])
     word = _mixed((sums[ends] - sums[starts]) * inverses[starts])
-    last = _last_words(text, starts, ends, word)
+    border = np.searchsorted(starts, bounds)
+    size = np.diff(border)
+    opening, final = border[:-1][size > 0], border[1:][size > 0] - 1
+    last = _last_words(text, starts, ends, word, final)
     first = np.append(0, last[:-1] + 1)
     line = _mixed((sums[ends[last]] - sums[starts[first]]) * inverses[starts[first]])
-    rolling = _mixed(line + np.append(np.uint64(0), line[:-1]) * np.uint64(_MULTIPLIER))
+    above = np.append(np.uint64(0), line[:-1])
+    above[np.searchsorted(first, opening)] = 0
+    rolling = _mixed(line + above * np.uint64(_MULTIPLIER))
     cut = rolling % np.uint64(APART) == 0
-    cut[-1] = True
+    cut[np.searchsorted(last, final)] = True
     to = np.flatnonzero(cut)
     of = np.append(0, to[:-1] + 1)
-    long = last[to] - first[of] + 1 >= CHUNK_WORDS
+    doc = np.searchsorted(border, first[of], "right") - 1
+    words = last[to] - first[of] + 1
+    long = (words >= CHUNK_WORDS) & (size[doc] >= LEAST_WORDS)
     a, b = starts[first[of[long]]], ends[last[to[long]]]
-    return a, b, _mixed((sums[b] - sums[a]) * inverses[a] + (b - a).astype(np.uint64))
+    return a, b, _mixed((sums[b] - sums[a]) * inverses[a] + (b - a).astype(np.uint64)), doc[long], words[long]
+
+
+def chunks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of a text's chunks of CHUNK_WORDS words or more, and their 64-bit hashes; a text of fewer than LEAST_WORDS
+    words has none.
+
+    Lines end at line feeds; a line of more than LONG words (a paragraph) is wrapped where its clauses end. A rolling hash covers each line and
+    the one before, and where it is 0 modulo APART the line ends a chunk. Whether it does depends on these two lines alone, so a
+    passage that is shifted, or stands among other lines, is cut in the same places. White space around a chunk is not part of it.
+    """
+    return _cut(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[:3]
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an Arrow column of texts or binary values without nulls, and where in them each value begins and the last ends."""
+    held = column.cast(pa.large_binary())
+    if not len(held):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = held.buffers()
+    at = np.frombuffer(offsets, np.int64, len(held) + 1, 8 * held.offset)
+    size = int(at[-1] - at[0])
+    return np.frombuffer(data, np.uint8, size, int(at[0])) if size else np.zeros(0, np.uint8), at - at[0]
+
+
+def _together(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Texts of a column, about TOGETHER bytes at a time: the first one's number, their bytes, and their bounds."""
+    data, at = _bytes(column)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + TOGETHER, "right")) - 1)
+        yield i, data[at[i] : at[j]], at[i : j + 1] - at[i]
+        i = j
 
 
 def _places(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,58 +176,88 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _hashes(rows: DataFrame) -> DataFrame:
     """The hash of every chunk of all texts."""
 
-    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("line dedup")
         for batch in batches:
-            found = [chunks(t.encode("utf-8", "replace"))[2] for t in batch["text"]]
-            yield pd.DataFrame({"fp": np.concatenate(found).view(np.int64)})
+            for _, data, bounds in _together(batch.column("text")):
+                yield pa.record_batch({"fp": _cut(data, bounds)[2].view(np.int64)})
 
-    return rows.select("text").mapInPandas(hashes, "fp long")
+    return rows.select("text").mapInArrow(hashes, "fp long")
 
 
 def _occurrences(rows: DataFrame, held: np.ndarray) -> DataFrame:
-    """A row per chunk whose hash the filter holds: document, place, hash, bytes, and the bytes before and after it."""
+    """A row per chunk whose hash the filter holds: document, place, hash, number of words, bytes, and the bytes before and after it."""
     shared = rows.sparkSession.sparkContext.broadcast(held)
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("line dedup")
         bits = shared.value
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], [], []]
-            for i, t in enumerate(batch["text"]):
-                data = t.encode("utf-8", "replace")
-                a, b, fp = chunks(data)
+            for i, text, bounds in _together(batch.column("text")):
+                a, b, fp, of, words = _cut(text, bounds)
                 one, two = _places(fp)
                 known = (bits[one >> 3] >> (7 - (one & 7)) & 1 & (bits[two >> 3] >> (7 - (two & 7)))).astype(bool)
-                a, b = a[known].tolist(), b[known].tolist()
-                cut = ([i] * len(a), a, b, fp[known].view(np.int64).tolist(), [data[x:y] for x, y in zip(a, b, strict=True)], [data[max(0, x - CONTEXT) : x] for x in a], [data[y : y + CONTEXT] for y in b])
-                for c, x in zip(cols, cut, strict=True):
-                    c += x
-            of = np.array(cols[0], np.int64)
-            yield pd.DataFrame({"id": batch["id"].astype("Int64").array[of], "h": batch["h"].to_numpy()[of], "start": cols[1], "end": cols[2], "fp": cols[3], "chunk": cols[4], "before": cols[5], "after": cols[6]})
-
-    return rows.mapInPandas(whole, "id long, h long, start long, end long, fp long, chunk binary, before binary, after binary")
-
-
-_GAP = b" \t\n\v\f\r"
-
-
-def _equal_after(x: bytes, y: bytes) -> int:
-    """Bytes that both begin with, up to the end of a word of both."""
-    n = min(len(x), len(y))
-    if x[:n] != y[:n]:
-        low, high = 0, n
-        while high - low > 1:
-            mid = (low + high) // 2
-            low, high = (mid, high) if x[:mid] == y[:mid] else (low, mid)
-        n = low
-    while n and not ((n == len(x) or x[n] in _GAP) and (n == len(y) or y[n] in _GAP)):
-        n -= 1
-    return len(x[:n].rstrip(_GAP))
-
-
-def _equal_before(x: bytes, y: bytes) -> int:
-    return _equal_after(x[::-1], y[::-1])
+                a, b, fp, of, words = a[known], b[known], fp[known], of[known], words[known]
+                data, rows_of = text.tobytes(), pa.array(i + of)
+                cut = [(a, b), (np.maximum(bounds[of], a - CONTEXT), a), (b, np.minimum(bounds[of + 1], b + CONTEXT))]
+                chunk, before, after = (pa.array([data[x:y] for x, y in zip(c.tolist(), d.tolist(), strict=True)], pa.binary()) for c, d in cut)
+                yield pa.record_batch(
+                    {
+                        "id": batch.column("id").take(rows_of),
+                        "h": batch.column("h").take(rows_of),
+                        "start": a - bounds[of],
+                        "end": b - bounds[of],
+                        "fp": fp.view(np.int64),
+                        "words": words.astype(np.int32),
+                        "chunk": chunk,
+                        "before": before,
+                        "after": after,
+                    }
+                )
+
+    return rows.mapInArrow(whole, "id long, h long, start long, end long, fp long, words int, chunk binary, before binary, after binary")
+
+
+def _padded(column: pa.Array, width: int, backwards: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A row of width bytes per value, spaces where it has none, from its end if backwards; and which bytes are the value's."""
+    data, at = _bytes(column)
+    size, place = np.diff(at)[:, None], np.arange(width)
+    own = place >= width - size if backwards else place < size
+    out = np.full(own.shape, 32, np.uint8)
+    out[own] = data
+    return (out[:, ::-1], own[:, ::-1]) if backwards else (out, own)
+
+
+def _equal(x: pa.Array, y: pa.Array, backwards: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of values how many bytes both begin with (end with, if backwards), up to the end of a word of both, and their words."""
+    width = 1 + max(int(np.diff(_bytes(c)[1]).max(initial=0)) for c in (x, y))
+    (a, of_a), (b, of_b) = _padded(x, width, backwards), _padded(y, width, backwards)
+    place = np.arange(width, dtype=np.int32)
+    inside = _INSIDE[a]
+    n = np.argmin((a == b) & of_a & of_b, axis=1)
+    n = np.where(~(inside | _INSIDE[b]) & (place <= n[:, None]), place, 0).max(axis=1)
+    inside &= place < n[:, None]
+    words = inside.copy()
+    words[:, 1:] &= ~inside[:, :-1]
+    return np.where(inside, place + 1, 0).max(axis=1), words.sum(axis=1)
+
+
+#: Whether shuffle files of a query go as soon as it has ended. Else they stay until the driver's JVM collects its plan, often after the next shuffle.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _finished(df: DataFrame) -> DataFrame:
+    """df, written and read back, without the shuffle files behind it."""
+    conf = df.sparkSession.conf
+    held = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return materialize(df)
+    finally:
+        if held is None:
+            conf.unset(_CLEANUP)
+        else:
+            conf.set(_CLEANUP, held)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,21 +271,20 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     aggregates with partial minima and joins, which split a hot chunk.
     """
     rows = _rows(docs, id_col, text_col)
-    twice = materialize(_hashes(rows).groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
+    twice = _finished(_hashes(rows).groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
     occurrences = _occurrences(rows, _filter(twice)).join(twice, "fp")
-    found = materialize(occurrences.distinct() if _repeated_rows(docs, id_col) else occurrences)
+    found = _finished(occurrences.distinct() if _repeated_rows(docs, id_col) else occurrences)
     place = F.struct("id", "h", "start")
     first = found.groupBy("fp", "chunk").agg(F.min(place).alias("first"), F.min_by(F.struct("before", "after"), place).alias("around"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = found.join(first, ["fp", "chunk"]).where(~place.eqNullSafe(F.col("first")))
 
-    @F.pandas_udf("left int, right int, words int")
-    def reach(chunk: pd.Series, before: pd.Series, after: pd.Series, first_before: pd.Series, first_after: pd.Series) -> pd.DataFrame:
-        left = [_equal_before(x, y) for x, y in zip(before, first_before, strict=True)]
-        right = [_equal_after(x, y) for x, y in zip(after, first_after, strict=True)]
-        words = [len(c.split()) + len(x[len(x) - i :].split()) + len(y[:j].split()) for c, x, y, i, j in zip(chunk, before, after, left, right, strict=True)]
-        return pd.DataFrame({"left": left, "right": right, "words": words})
+    @F.arrow_udf("struct<left int, right int, words int>")
+    def reach(before: pa.Array, after: pa.Array, first_before: pa.Array, first_after: pa.Array) -> pa.Array:
+        (left, more), (right, and_more) = _equal(before, first_before, backwards=True), _equal(after, first_after)
+        return pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in (left, right, more + and_more)], ["left", "right", "words"])
 
-    reached = again.select("id", "h", "start", "end", F.col("first.id").alias("first_id"), reach("chunk", "before", "after", "around.before", "around.after").alias("r")).where(F.col("r.words") >= LEAST_WORDS)
+    reached = again.select("id", "h", "start", "end", "words", F.col("first.id").alias("first_id"), reach("before", "after", "around.before", "around.after").alias("r"))
+    reached = reached.where(F.col("words") + F.col("r.words") >= LEAST_WORDS)
     spans = reached.select("id", "h", (F.col("start") - F.col("r.left")).alias("start"), (F.col("end") + F.col("r.right")).alias("end"), "first_id")
     done = F.max("end").over(Window.partitionBy("id", "h").orderBy("start", F.col("end").desc(), "first_id").rowsBetween(Window.unboundedPreceding, -1))
     return spans.withColumn("start", F.greatest("start", done)).where("start < end").select("id", "h", "start", "end", "first_id")
