@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,32 +18,34 @@ def digits(value: Column) -> Column:
     return F.regexp_replace(value, "(?U)[^\\d]", "")
 
 
-def _digit(value: Column, i: int) -> Column:
-    return F.substring(value, i + 1, 1).cast("int")
+def _with_number(value: Column, length: int, right: Callable[[Callable[[int], Column]], Column]) -> Column:
+    """Whether value has so many ASCII digits and right(i -> digit i) holds. The number is bound once, as it is referred to often."""
+    d = digits(value)
+    number = F.when(F.length(d) == length, d.try_cast("long"))
+
+    def holds(n: Column) -> Column:
+        return F.coalesce(right(lambda i: F.call_function("div", n, F.lit(10 ** (length - 1 - i))) % 10), F.lit(False))
+
+    return F.get(F.transform(F.array(number), holds), F.lit(0))
 
 
-def _remainder(value: Column, weights: tuple[int, ...]) -> Column:
-    total = F.lit(0)
+def _ends_right(digit: Callable[[int], Column], weights: tuple[int, ...]) -> Column:
+    """Whether the digit after the weighted ones is 11 less the weighted sum's remainder, 0 for 0; a remainder of 1 is never right,
+    as 10 is no digit. So the sum with that digit is a multiple of 11."""
+    total = digit(len(weights))
     for i, w in enumerate(weights):
-        total = total + _digit(value, i) * w
-    return total % 11
+        total = total + digit(i) * w
+    return total % 11 == 0
 
 
 def national_id(value: Column) -> Column:
-    """Whether both check digits are right: 11 less the weighted sum's remainder, 0 for 0; a remainder of 1 is never right."""
-    d = digits(value)
-    ok = F.length(d) == 11
-    for place, weights in ((9, FIRST_WEIGHTS), (10, SECOND_WEIGHTS)):
-        r = _remainder(d, weights)
-        ok = ok & (r != 1) & (_digit(d, place) == F.when(r == 0, F.lit(0)).otherwise(11 - r))
-    return F.coalesce(ok, F.lit(False))
+    """Whether both check digits are right."""
+    return _with_number(value, 11, lambda digit: _ends_right(digit, FIRST_WEIGHTS) & _ends_right(digit, SECOND_WEIGHTS))
 
 
 def org_number(value: Column) -> Column:
-    """Whether the last of nine digits is right: 11 less the weighted sum's remainder, 0 for 0; a remainder of 1 is never right."""
-    d = digits(value)
-    r = _remainder(d, ORG_WEIGHTS)
-    return F.coalesce((F.length(d) == 9) & (r != 1) & (_digit(d, 8) == F.when(r == 0, F.lit(0)).otherwise(11 - r)), F.lit(False))
+    """Whether the last of nine digits is right."""
+    return _with_number(value, 9, lambda digit: _ends_right(digit, ORG_WEIGHTS))
 
 
 def luhn(value: Column) -> Column:

@@ -6,11 +6,16 @@ overlap resolution and redaction of a text need no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.functions.checks import CHECKS
-from umbra.functions.patterns import Detector
+from umbra.functions.number_spans import number_spans_of
+from umbra.functions.patterns import NUMBERS, Detector
+from umbra.functions.standing import standing
 
 #: Fields of a span, and of spans that carry more.
 FIELDS = {"entity": "string", "value": "string", "st": "int", "en": "int", "score": "double", "rule": "string"}
@@ -23,8 +28,10 @@ def kind(fields: dict[str, str]) -> str:
 SPAN = kind(FIELDS)
 
 
-#: Stands for a match while a text is cut at its matches; a character that no text should hold. Texts that do are looked at with another in its place.
-MARK, INSTEAD = "\uffff", "\ufffd"
+#: Stands around a match while a text is cut at its matches: characters that no text should hold, of ASCII to keep texts in Java's short form,
+#: and another. Texts that hold them are looked at with others in their places.
+MARK, LAST = "\x01", "\uffff"
+INSTEAD = {MARK: "\x02", LAST: "\ufffd"}
 #: Elements that are added up in a row, so that running sums of long arrays take no quadratic time.
 BLOCK = 256
 
@@ -45,33 +52,68 @@ def running(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.flatten(F.aggregate(blocks, start, add, lambda a: a["out"]))).otherwise(F.array().cast("array<int>"))
 
 
-def with_matches(df: DataFrame, text_col: str, patterns: dict[str, str], guards: dict[str, Column] | None = None) -> DataFrame:
-    """df with a column array<struct<value, st, en>> of all matches of each pattern; null where the guard fails or the text is null.
+def _holds_marks(text: Column) -> Column:
+    return F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(LAST))
 
-    A text is searched once, and a second time if it matches, to measure the gaps: matches and gaps add up to the positions.
-    What is referred to several times is a column first. Patterns must not match nothing.
-    """
-    marked = F.contains(F.col(text_col), F.lit(MARK))
-    text = F.when(marked, F.translate(F.col(text_col), MARK, INSTEAD)).otherwise(F.col(text_col))
-    guards = guards or {}
-    own = {k: F.regexp_extract_all(text, F.lit(p), F.lit(0)) for k, p in patterns.items()}
-    out = df.withColumns({f"{k}_m": F.when(guards[k], x) if k in guards else x for k, x in own.items()})
-    some = {k: F.size(f"{k}_m") > 0 for k in patterns}
-    out = out.withColumns({f"{k}_g": F.when(some[k], F.transform(F.split(F.regexp_replace(text, p, MARK), MARK, -1), lambda g: F.length(g))) for k, p in patterns.items()})
-    out = out.withColumns({f"{k}_s": F.zip_with(f"{k}_m", F.slice(f"{k}_g", 2, F.greatest(F.size(f"{k}_m"), F.lit(1))), lambda m, g: F.length(m) + g) for k in patterns})
-    out = out.withColumns({f"{k}_s": F.when(some[k], running(F.col(f"{k}_s"))) for k in patterns})
 
-    def match(k: str) -> Column:
-        first = F.get(f"{k}_g", F.lit(0))
+def _pieces(text: Column, marked: Column, pattern: str) -> Column:
+    """A text's gaps and matches in turn."""
+    seen = F.when(marked, F.translate(text, "".join(INSTEAD), "".join(INSTEAD.values()))).otherwise(text)
+    return F.split(F.regexp_replace(seen, pattern, f"{MARK}$0{MARK}"), MARK, -1)
 
-        def value(m: Column, st: Column) -> Column:  # as it stands, where the text was looked at with another character in its place
-            return F.when(marked, F.substring(F.col(text_col), st + 1, F.length(m))).otherwise(m)
 
-        return F.zip_with(f"{k}_m", f"{k}_s", lambda m, x: F.struct(value(m, first + x).alias("value"), (first + x).alias("st"), (first + x + F.length(m)).alias("en")))
+MATCH = "struct<value:string,st:int,en:int>"
 
-    empty = F.array().cast("array<struct<value:string,st:int,en:int>>")
-    out = out.withColumns({k: F.when(some[k], match(k)).when(F.col(f"{k}_m").isNotNull(), empty) for k in patterns})
-    return out.drop(*[f"{k}_{x}" for k in patterns for x in "mgs"])
+
+def _match(value: Column, st: Column, en: Column) -> Column:
+    return F.struct(value.alias("value"), st.alias("st"), en.alias("en"))
+
+
+def with_matches(
+    df: DataFrame, text_col: str, patterns: dict[str, str], guards: dict[str, Column] | None = None, make: dict[str, tuple[Callable[[Column, Column, Column], Column], str]] | None = None
+) -> DataFrame:
+    """df with a column array<struct<value, st, en>> of all matches of each pattern, or of what make (with its type) says of these three; null
+    where the guard fails or the text is null.
+
+    A text is searched once: matches are set between marks, and cut there into gaps and matches in turn, whose lengths add up to the
+    positions. One match and two, the usual numbers, are taken from their places, and more of them by sums.
+    What is referred to several times is a column first. Patterns must not match nothing.
+    """
+    guards, make = guards or {}, make or {}
+    out = df.withColumn("_marked", _holds_marks(F.col(text_col)))
+    marked = F.col("_marked")
+    own = {k: _pieces(F.col(text_col), marked, p) for k, p in patterns.items()}
+    out = out.withColumns({f"{k}_p": F.when(guards[k], x) if k in guards else x for k, x in own.items()})
+    size = {k: F.size(f"{k}_p") for k in patterns}
+    many = {k: (size[k] > 1) & (marked | (size[k] > 5)) for k in patterns}
+    out = out.withColumns({f"{k}_s": F.when(many[k], F.transform(f"{k}_p", lambda x: F.length(x))) for k in patterns})
+    out = out.withColumns({f"{k}_s": F.when(many[k], running(F.col(f"{k}_s"))) for k in patterns})
+
+    def matches(k: str) -> Column:
+        built, made = make.get(k, (_match, MATCH))
+        piece = [F.get(f"{k}_p", F.lit(i)) for i in range(4)]
+        ends = [F.length(piece[0])]
+        for p in piece[1:]:
+            ends.append(ends[-1] + F.length(p))
+        first = [built(piece[1], ends[0], ends[1]), built(piece[3], ends[2], ends[3])]
+
+        def match(i: Column) -> Column:
+            m, st = F.get(f"{k}_p", i), F.get(f"{k}_s", i)
+            # as it stands, where the text was looked at with another character in its place
+            return _match(F.when(marked, F.substring(F.col(text_col), st + 1, F.length(m))).otherwise(m), st, st + F.length(m))
+
+        each = F.transform(F.sequence(F.lit(1), size[k] - 2, F.lit(2)), match)
+        if k in make:
+            each = F.transform(each, lambda m: built(m["value"], m["st"], m["en"]))
+        return (
+            F.when(size[k] == 1, F.array().cast(f"array<{made}>"))
+            .when(many[k], each)
+            .when(size[k] == 3, F.array(first[0]))
+            .when(size[k] == 5, F.array(*first))
+        )
+
+    out = out.withColumns({k: matches(k) for k in patterns})
+    return out.drop("_marked", *[f"{k}_{x}" for k in patterns for x in "ps"])
 
 
 def none() -> Column:
@@ -84,34 +126,46 @@ def exploded(df: DataFrame, array: str | Column, name: str, *cols: str | Column)
     return df.select(*cols, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
 
 
-def possible(text: Column, detector: Detector) -> Column:
-    """Whether a text holds a literal that any match holds."""
-    any_literal = F.lit(False)
+def possible(low: Column, odd: Column, detector: Detector) -> Column:
+    """Whether a text, low in lower case, holds a literal that any match holds; odd: whether it holds letters that patterns
+    take for ASCII ones without regard to case, while lower case doesn't."""
+    any_literal = odd
     for literal in detector.needs:
-        any_literal = any_literal | F.contains(F.lower(text), F.lit(literal))
+        any_literal = any_literal | F.contains(low, F.lit(literal))
     return any_literal
 
 
-def detected(found: Column, detector: Detector) -> Column:
-    """array of SPAN of a detector's matches."""
+def span_of(detector: Detector) -> Callable[[Column, Column, Column], Column]:
+    """SPAN of a detector's match; the score is null if the check fails and nothing else is said."""
 
-    def span(m: Column) -> Column:
+    def span(value: Column, st: Column, en: Column) -> Column:
         score = F.lit(detector.score)
         if detector.check:
-            score = F.when(CHECKS[detector.check](m["value"]), score).otherwise(F.lit(detector.otherwise))
-        return F.struct(F.lit(detector.entity).alias("entity"), m["value"].alias("value"), m["st"].alias("st"), m["en"].alias("en"), score.alias("score"), F.lit(detector.rule).alias("rule"))
+            score = F.when(CHECKS[detector.check](value), score).otherwise(F.lit(detector.otherwise))
+        return F.struct(F.lit(detector.entity).alias("entity"), value.alias("value"), st.alias("st"), en.alias("en"), score.alias("score"), F.lit(detector.rule).alias("rule"))
 
-    spans = F.transform(found, span)
-    return F.filter(spans, lambda s: s["score"].isNotNull()) if detector.check and detector.otherwise is None else spans
+    return span
 
 
 def with_spans(df: DataFrame, text_col: str, detectors: tuple[Detector, ...], name: str = "_spans") -> DataFrame:
     """df with a column of all detectors' spans; null and empty texts have none."""
-    patterns = {f"_d{i}": d.pattern for i, d in enumerate(detectors)}
-    guards = {f"_d{i}": possible(F.col(text_col), d) for i, d in enumerate(detectors) if d.needs}
-    matched = with_matches(df, text_col, patterns, guards)
-    spans = [F.coalesce(detected(F.col(k), d), none()) for k, d in zip(patterns, detectors, strict=True)]
-    return matched.withColumn(name, F.concat(*spans) if spans else none()).drop(*patterns)
+    numbers = [d for d in detectors if d.lengths]
+    named = {f"_d{i}": d for i, d in enumerate(detectors) if not d.lengths or len(numbers) < 2}
+    text = F.col(text_col)
+    odd = F.contains(text, F.lit("\u0130")) | F.contains(text, F.lit("\u0131")) | F.contains(text, F.lit("\u017f"))
+    guards = {k: possible(F.col("_low"), F.col("_odd"), d) for k, d in named.items() if d.needs}
+    seen = df.withColumns({"_low": F.lower(text), "_odd": odd}) if guards else df
+    matched = with_matches(seen, text_col, {k: d.search for k, d in named.items()}, guards, {k: (span_of(d), SPAN) for k, d in named.items()})
+
+    def kept(k: str, d: Detector) -> Column:
+        spans = F.filter(k, lambda s: s["score"].isNotNull()) if d.check and d.otherwise is None else F.col(k)
+        return F.coalesce(spans, none())
+
+    spans = [kept(k, d) for k, d in named.items()]
+    if len(numbers) > 1:
+        told_apart = F.arrow_udf(number_spans_of(tuple(numbers)), f"array<{SPAN}>")
+        spans.append(told_apart(_pieces(text, _holds_marks(text), NUMBERS)))
+    return matched.withColumn(name, F.concat(*spans) if spans else none()).drop("_low", "_odd", *named)
 
 
 def line_number(text: Column, st: Column) -> Column:
@@ -127,7 +181,7 @@ def overlaps(a: Column, b: Column) -> Column:
 def _ordered(spans: Column, by: tuple[str, ...], fields: dict[str, str]) -> Column:
     """Spans in order of the given fields (neg: the score downwards), as structs that begin with these."""
     rest = [f for f in fields if f not in by]
-    return F.array_sort(F.transform(spans, lambda s: F.struct(*[(-s["score"]).alias("neg") if f == "neg" else s[f].alias(f) for f in by], *[s[f].alias(f) for f in rest])))
+    return F.sort_array(F.transform(spans, lambda s: F.struct(*[(-s["score"]).alias("neg") if f == "neg" else s[f].alias(f) for f in by], *[s[f].alias(f) for f in rest])))
 
 
 def _plain(spans: Column, fields: dict[str, str]) -> Column:
@@ -137,18 +191,17 @@ def _plain(spans: Column, fields: dict[str, str]) -> Column:
 def resolved(spans: Column, fields: dict[str, str] = FIELDS, context: str | None = None) -> Column:
     """The spans that stand: from the best score on, each that overlaps none of those kept; in order of start.
 
-    Equal scores go by start, entity, end and rule. context names a field: spans of different contexts never overlap.
+    Equal scores go by start, entity, end and rule. context names a field: spans of different contexts never overlap. As arrays of a
+    row this takes a fold within a fold, which Spark doesn't compile; so it is done for many rows at once over Arrow batches.
     """
-    by_score = _plain(_ordered(spans, ("neg", "st", "entity", "en", "rule"), fields), fields)
+    return F.arrow_udf(standing_in(context), f"array<{kind(fields)}>")(spans)
 
-    def keep(kept: Column, s: Column) -> Column:
-        def clash(k: Column) -> Column:
-            return overlaps(k, s) & (k[context] == s[context]) if context else overlaps(k, s)
 
-        return F.when(F.exists(kept, clash), kept).otherwise(F.concat(kept, F.array(s)))
+def standing_in(context: str | None) -> Callable[[pa.Array], pa.Array]:
+    def stand(spans: pa.Array) -> pa.Array:
+        return standing(spans, context)
 
-    kept = F.aggregate(by_score, F.array().cast(f"array<{kind(fields)}>"), keep)
-    return _plain(_ordered(kept, ("st",), fields), fields)
+    return stand
 
 
 def first_standing(spans: Column, fields: dict[str, str] = FIELDS) -> Column:

@@ -44,19 +44,24 @@ class Settings:
 
 def raw_spans(units: DataFrame, settings: Settings) -> DataFrame:
     """units with _spans: all spans of their text, companies after suppression, before overlaps are resolved."""
-    found = with_spans(units, "text", settings.detectors())
+    looked_for = settings.detectors()
+    found = with_spans(units, "text", looked_for)
+    if all(d.entity != "NORWEGIAN_COMPANY" for d in looked_for):
+        return found
     return found.withColumn("_spans", F.filter("_spans", lambda s: (s["entity"] != "NORWEGIAN_COMPANY") | company_form_is_upper(s["value"])))
 
 
 def standing_spans(units: DataFrame, settings: Settings) -> DataFrame:
-    """units with _standing: the spans that stand after overlaps are resolved, with _ctx: the line in plain text files, else the unit's."""
-    context = F.col("ctx").cast("string")
+    """units with _standing: the spans that stand after overlaps are resolved; by line with _ctx, the line that they start in."""
+    found = raw_spans(units, settings)
+    if not settings.by_line:
+        return found.withColumn("_standing", resolved(F.col("_spans"))).drop("_spans")
 
     def placed(s: Column) -> Column:
-        return s.withField("_ctx", F.concat(F.lit("line "), line_number(F.col("text"), s["st"]).cast("string")) if settings.by_line else context)
+        return s.withField("_ctx", F.concat(F.lit("line "), line_number(F.col("text"), s["st"]).cast("string")))
 
-    found = raw_spans(units, settings).withColumn("_spans", F.transform("_spans", placed))
-    return found.withColumn("_standing", resolved(F.col("_spans"), FIELDS | {"_ctx": "string"}, "_ctx" if settings.by_line else None)).drop("_spans")
+    found = found.withColumn("_spans", F.transform("_spans", placed))
+    return found.withColumn("_standing", resolved(F.col("_spans"), FIELDS | {"_ctx": "string"}, "_ctx")).drop("_spans")
 
 
 def detect(units: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -64,8 +69,9 @@ def detect(units: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     One pass over the text: spans are found and resolved within their row, without a shuffle.
     """
-    found = exploded(standing_spans(units, settings), "_standing", "s", "doc_id", "ord")
-    return found.select("doc_id", F.col("s._ctx").alias("ctx"), "ord", *[F.col(f"s.{c}").alias(c) for c in FIELDS], F.lit(True).alias("redact"))
+    found = exploded(standing_spans(units, settings), "_standing", "s", "doc_id", "ctx", "ord")
+    context = F.col("s._ctx") if settings.by_line else F.col("ctx").cast("string")
+    return found.select("doc_id", context.alias("ctx"), "ord", *[F.col(f"s.{c}").alias(c) for c in FIELDS], F.lit(True).alias("redact"))
 
 
 def detect_names(units: DataFrame, dictionary: DataFrame) -> DataFrame:
