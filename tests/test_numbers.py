@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from umbra.functions import patterns
 from umbra.functions.patterns import DETECTORS
 from umbra.functions.spans import with_matches, with_spans
 from umbra.functions.standing import standing
@@ -69,3 +70,15 @@ def test_many_rows_stand_as_one_does(most, context):
         assert [s["st"] for s in out] == sorted(s["st"] for s in out)
     assert len(standing(pa.array([], type=kind), context)) == 0
     assert standing(pa.array(lists, type=kind).slice(3, 5), context).to_pylist() == got.slice(3, 5).to_pylist()
+
+
+def test_stems_are_in_every_match(units):
+    """Texts without a stem aren't searched; letters that only patterns take for ASCII ones don't hide a term."""
+    assert patterns.stems(["diagnos[ea]r", r"LHBT\+?", r"same.sex\s+(?:partner|marriage)", r"genetisk(?:\s+test(?:ing)?)?"]) == ("diagnos", "genetisk", "lhbt", "same")
+    terms = [d for d in DETECTORS if d.needs and d.rule == "term"]
+    assert len(terms) == 8
+    df = units("D\u0130AGNOSE", "d\u0131agnose", "diagno\u017fe", "genetic \u212Ahm", "PASIENTJOURNAL", "ny MOSK\u00c9", "LHBT", "none")
+    got = rows_of(with_spans(df, "text", tuple(terms)))
+    own = with_matches(df, "text", {f"p{i}": d.pattern for i, d in enumerate(terms)}).collect()
+    assert got == sorted((r["doc_id"], d.entity, m["value"], m["st"], m["en"], d.rule) for r in own for i, d in enumerate(terms) for m in r[f"p{i}"] or [])
+    assert {x[0] for x in got} >= {0, 1, 2, 3, 4, 5, 6}

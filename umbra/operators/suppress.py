@@ -10,6 +10,8 @@ from umbra.functions.spans import exploded, with_matches
 
 #: A word, for deciding whether a span looks like a name.
 WORD = "[A-Za-zÆØÅæøåÀ-ÿ]+"
+#: A word that begins with a capital.
+CAPITAL = "(?=[A-ZÀ-ÖØ-Þ])(?<![A-Za-zÆØÅæøåÀ-ÿ])[A-Za-zÆØÅæøåÀ-ÿ]+"
 
 
 def company_form_is_upper(value: Column) -> Column:
@@ -45,9 +47,7 @@ def trim_to_names(detections: DataFrame, dictionary: DataFrame, common_words: Da
     """
     subject = F.col("entity").isin(*entities)
     keyed = detections.where(subject).withColumn("_key", F.struct("doc_id", "ctx", "ord", "entity", "st", "en", "score", "rule", "redact"))
-    words = exploded(with_matches(keyed, "value", {"_w": WORD}), "_w", "m", "_key", "value")
-    first = F.substring(F.col("m.value"), 1, 1)
-    capital = words.where((first == F.upper(first)) & (first != F.lower(first)))
+    capital = exploded(with_matches(keyed, "value", {"_w": CAPITAL}), "_w", "m", "_key", "value")
     uncommon = capital.join(common_words.select(F.col("word").alias("_c")), F.lower("m.value") == F.col("_c"), "left_anti")
     known = uncommon.join(dictionary.select(F.col("name").alias("_n")).distinct().withColumn("_known", F.lit(True)), F.col("m.value") == F.col("_n"), "left")
     order = Window.partitionBy("_key").orderBy("m.st")
